@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, sharding
+from ledgerloom.llm import language_id, mixing, quality_knn, quality_rules, sharding
+from ledgerloom.llm.sampling import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_languages(docs.select("doc_id", "text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
     return placed.select(
@@ -34,10 +47,25 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality_knn.classify(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
+        "op4_quality_rules": op4_quality_rules,
         "op5_sharding": op5_sharding,
         "op7_mixing": op7_mixing,
+        "op8_quality_knn": op8_quality_knn,
     }
 
 
