@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.sampling import held_out, one_label
+from ledgerloom.llm.sampling import bounded_rows, held_out, one_label
+from ledgerloom.shared import materialize
 
 #: Hashed terms: half of them for shapes, half for bytes.
 HALF = 1024
@@ -132,12 +133,12 @@ def score_counts(model: Model, term_counts: np.ndarray, neighbours: int = NEIGHB
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fit on at most ``bound`` labelled documents outside the held-out fold; the rarer label fills up to half of them."""
     labelled = one_label(labels.filter(~held_out(F.col("doc_id"))), label_col)
-    order = F.xxhash64("label_id", F.lit("sample"))
     half = bound // 2
     present = labelled.join(docs.select(F.col(id_col).alias("label_id")), "label_id", "left_semi")
+    present = materialize(present, "labelled-ids")
     picks = []
     for value in (0, 1):
-        rows = present.filter(F.col("label") == value).orderBy(order, "label_id").limit(bound).collect()
+        rows = bounded_rows(present.filter(F.col("label") == value), "label_id", bound)
         picks.append([(r.label_id, r.label) for r in rows])
     few, many = sorted(picks, key=len)
     few = few[:half]

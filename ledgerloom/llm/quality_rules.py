@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.sampling import one_label
+from ledgerloom.llm.sampling import bounded_rows, one_label
 from ledgerloom.shared import materialize
 
 #: Bound of the labelled sample from which the list is learned.
@@ -254,15 +254,19 @@ def base_failed() -> Column:
 def learn_from(stats: DataFrame, labels: DataFrame, label_col: str = "quality", bound: int = MAX_LABELLED) -> list[Rule]:
     """Learn from at most ``bound`` labelled documents that pass the base rules."""
     labelled = one_label(labels, label_col)
-    joined = stats.filter(~base_failed()).join(labelled, F.col("doc_id") == F.col("label_id"))
-    order = F.xxhash64("label_id", F.lit("sample"))
-    rows = joined.orderBy(order, *COUNTS).limit(bound).select("label", *COUNTS).toPandas()
-    if not len(rows):
+    joined = (
+        stats.filter(~base_failed())
+        .join(labelled, F.col("doc_id") == F.col("label_id"))
+        .groupBy("label_id")  # one row of each id, however often it repeats
+        .agg(F.min(F.struct("label", *COUNTS)).alias("r"))
+        .select("label_id", "r.*")
+    )
+    rows = bounded_rows(materialize(joined, "labelled-statistics"), "label_id", bound)
+    if not rows:
         return []
-    values = {
-        name: rows[top].to_numpy() / np.maximum(rows[bottom].to_numpy(), 1) for name, (top, bottom) in FEATURES.items()
-    }
-    return learn_list(values, rows["label"].to_numpy() == 0)
+    held = {c: np.array([r[c] for r in rows]) for c in ("label", *COUNTS)}
+    values = {name: held[top] / np.maximum(held[bottom], 1) for name, (top, bottom) in FEATURES.items()}
+    return learn_list(values, held["label"] == 0)
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:

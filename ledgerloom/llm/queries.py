@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import language_id, mixing, quality_knn, quality_rules, sharding
+from ledgerloom.llm import byte_bpe, language_id, mixing, quality_knn, quality_rules, sharding, token_files
 from ledgerloom.llm.sampling import held_out
 
 
@@ -15,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=1
+    )
+    return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32", "doc_no", "file_no")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit_languages(docs.select("doc_id", "text", "lang"))
@@ -42,6 +50,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(encoded, ranks)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return planned.select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -61,9 +75,11 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
         "op2_language_id": op2_language_id,
         "op4_quality_rules": op4_quality_rules,
         "op5_sharding": op5_sharding,
+        "op6_byte_bpe": op6_byte_bpe,
         "op7_mixing": op7_mixing,
         "op8_quality_knn": op8_quality_knn,
     }

@@ -20,7 +20,17 @@ def one_label(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> Data
     )
 
 
-def sample_ids(labelled: DataFrame, bound: int) -> list[tuple]:
-    """At most ``bound`` rows (label_id, label), chosen by a hash of the id: same rows in every run."""
-    order = F.xxhash64("label_id", F.lit("sample"))
-    return [(r.label_id, r.label) for r in labelled.orderBy(order, "label_id").limit(bound).collect()]
+def bounded_rows(rows: DataFrame, key: str, bound: int) -> list:
+    """At most ``bound`` rows at the driver, chosen by a hash of ``key`` (one row of each): same rows in every run.
+
+    The rows are counted first and only those under the matching share of the hash's range are sent, so what
+    reaches the driver is about ``bound`` rows however many tasks there are.
+    """
+    total = rows.count()
+    wide = 1 << 31
+    order = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(wide))
+    if total > bound:
+        rows = rows.filter(order < int(min(1.0, 1.1 * bound / total) * wide))
+    found = rows.withColumn("sample_order", order).collect()
+    found.sort(key=lambda r: (r["sample_order"], str(r[key])))
+    return found[:bound]
