@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, language_id, mixing, quality_knn, quality_rules, sharding, token_files
+from ledgerloom.llm import byte_bpe, chat, hnsw, language_id, mixing, quality_knn, quality_rules, sharding, token_files
 from ledgerloom.llm.sampling import held_out
 
 
@@ -30,6 +30,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    conv_type, turn_type = (turns.schema[c].dataType for c in ("conv_id", "turn"))
+    planted = spark.range(2).select(
+        F.lit(-7).cast(conv_type).alias("conv_id"),
+        F.col("id").cast(turn_type).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said,
+    )
+    return chat.write_and_read(turns.unionByName(planted))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,15 +86,21 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op2_language_id": op2_language_id,
+        "op3_chat_format": op3_chat_format,
         "op4_quality_rules": op4_quality_rules,
         "op5_sharding": op5_sharding,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mixing": op7_mixing,
         "op8_quality_knn": op8_quality_knn,
+        "op9_hnsw": op9_hnsw,
     }
 
 
