@@ -55,14 +55,19 @@ def _smallest(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(places, axis=1), np.stack(held, axis=1)
 
 
+def _labelled(kmers: np.ndarray) -> np.ndarray:
+    """K-mers told apart by how many equal ones stand before them."""
+    with np.errstate(over="ignore"):
+        return T.mix(kmers + T.occurrences(kmers).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def sketch(words: np.ndarray) -> np.ndarray:
     """One 64-bit sample for each hash function; none for a text without words."""
     if not len(words):
         return np.zeros(0, dtype=np.uint64)
     kmers = T.shingle_hashes(words, SHINGLE)
     with np.errstate(over="ignore"):
-        labelled = T.mix(kmers + T.occurrences(kmers).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        short = (labelled >> np.uint64(32)).astype(np.uint32)
+        short = (_labelled(kmers) >> np.uint64(32)).astype(np.uint32)
         places, values = [], []
         for at in range(0, len(short), _BLOCK):
             hashed = (short[None, at : at + _BLOCK] ^ _XOR[:, None]) * _MULTIPLY[:, None]
@@ -100,14 +105,12 @@ def _in_common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _anchored(a: np.ndarray, b: np.ndarray, k: int = 3) -> int:
-    """Cost of one valid alignment: k-mers unique in both as anchors in rising order, all between them replaced."""
+    """Cost of one valid alignment: occurrence-labelled k-mers of both as anchors in rising order, all between them replaced."""
     if min(len(a), len(b)) < k:
         return max(len(a), len(b))
-    ka, kb = T.shingle_hashes(a, k), T.shingle_hashes(b, k)
-    ua, ia, ca = np.unique(ka, return_index=True, return_counts=True)
-    ub, ib, cb = np.unique(kb, return_index=True, return_counts=True)
-    ua, ia, ub, ib = ua[ca == 1], ia[ca == 1], ub[cb == 1], ib[cb == 1]
-    _, x, y = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    ka, kb = (_labelled(T.shingle_hashes(x, k)) for x in (a, b))
+    ia, ib = np.argsort(ka), np.argsort(kb)
+    _, x, y = np.intersect1d(ka[ia], kb[ib], assume_unique=True, return_indices=True)
     i, j = ia[x], ib[y]
     order = np.argsort(i)
     i, j = i[order], j[order]
@@ -127,7 +130,10 @@ def _anchored(a: np.ndarray, b: np.ndarray, k: int = 3) -> int:
         i, j = i[chain[::-1]], j[chain[::-1]]
     gap_a = np.diff(np.concatenate([[-1], i, [len(a)]])) - 1
     gap_b = np.diff(np.concatenate([[-1], j, [len(b)]])) - 1
-    return int(np.maximum(gap_a, gap_b).sum())
+    # the words behind an anchor's first are equal on both sides, as far as the gap reaches
+    equal = np.minimum(np.minimum(gap_a, gap_b), k - 1)
+    equal[0] = 0
+    return int((np.maximum(gap_a, gap_b) - equal).sum())
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
