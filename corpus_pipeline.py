@@ -47,8 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, keep=("lang", "source"))
-    return byte_bpe.digests(encoded, ranks)
+    return byte_bpe.encode_and_digest(docs, ranks, public_tokenizers.PATTERN, keep=("lang", "source"))
 
 
 STAGES = [

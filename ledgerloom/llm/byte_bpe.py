@@ -18,9 +18,10 @@ ids are fine; an empty table gives no rows; other columns are not read unless na
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import text as T
 
 #: Bytes of text that share one dictionary.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 #: Bytes of text packed in one row on the way to their block's dictionary.
 CHUNK_BYTES = 1 << 20
 #: Largest number of buckets of words.
@@ -129,9 +130,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.R
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+    then: tuple[Callable[[list[bytes]], list[pa.Array]], str] | None = None,
 ) -> DataFrame:
-    """One row (doc_id, ``keep``, ids) for each row of ``docs``; ids: little-endian unsigned 32-bit integers."""
+    """One row (doc_id, ``keep``, ids) for each row of ``docs``; ids: little-endian unsigned 32-bit integers.
+
+    ``then``, a function from many texts' ids to columns, and their schema, takes the place of ids in the
+    same pass.
+    """
+    finish, finished = then or ((lambda out: [pa.array(out, pa.binary())]), "ids binary")
+    last_names = [part.split()[0] for part in finished.split(",")]
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"keep_{c}") for c in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     buckets = max(1, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -215,15 +228,15 @@ def encode_documents(
                         known.update((w, encode_word(w.encode(), ranks_path, pattern)) for w in set(found).difference(known))
                         out.append(b"".join([known[w] for w in found]))
                 rows_of = pa.ipc.open_stream(zstandard.decompress(held)).read_all().combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*rows_of.columns, pa.array(out, pa.binary())], names=[*rows_of.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*rows_of.columns, *finish(out)], names=[*rows_of.schema.names, *last_names])
 
     middle = "block long, kind int, payload binary, rows binary"
     asked = rows.select("text").mapInArrow(words, "block long, bucket int, words binary")
     answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode, middle)
     together = answered.unionByName(rows.mapInArrow(chunks, middle)).repartition("block").sortWithinPartitions("block", "kind")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_schema)
-    done = together.mapInArrow(assemble, f"{schema}, ids binary")
-    return done.select("doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep], "ids")
+    done = together.mapInArrow(assemble, f"{schema}, {finished}")
+    return done.select("doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep], *last_names)
 
 
 def decode_ids(ids: np.ndarray, path: str) -> bytes:
@@ -250,12 +263,16 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``encoded`` decoded again, with n_tokens and the digests of ids and of decoded bytes; neither is kept."""
-    back = decode_documents(encoded, ranks_path)
-    return back.select(
-        *[c for c in encoded.columns if c != "ids"],
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def encode_and_digest(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every row encoded and decoded again: doc_id, ``keep``, n_tokens and the digests of ids and of decoded bytes."""
+
+    def finish(ids: list[bytes]) -> list[pa.Array]:
+        decoded = [decode_ids(np.frombuffer(x, "<u4"), ranks_path) for x in ids]
+        return [
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+        ]
+
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encode_documents(docs, ranks_path, pattern, keep=keep, then=(finish, schema))

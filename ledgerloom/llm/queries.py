@@ -66,8 +66,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(encoded, ranks)
+    return byte_bpe.encode_and_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
