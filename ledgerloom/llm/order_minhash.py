@@ -231,7 +231,7 @@ def _word_arrays(docs: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """Links (a, b) that join all pairs whose texts are similar enough."""
     first = words.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
     second = words.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
 
@@ -244,7 +244,27 @@ def _linked(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.select("a", "b").join(second, "b").join(first, "a")
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
+    found = both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
+    return found.repartition("b").mapInArrow(_forest, "a long, b long")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one partition's links those that join what earlier ones didn't: no more than it has texts."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            top, bottom = root(a), root(b)
+            keep.append(top != bottom)
+            parent[max(top, bottom)] = min(top, bottom)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
