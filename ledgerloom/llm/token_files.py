@@ -28,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -188,19 +189,29 @@ class ChunkEncoder:
         split = [self._chunks(t) for t in texts]
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
+        flat = list(chain.from_iterable(split))
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+        if missing:
+            self._learn({flat[i] for i in missing})
+            for i in missing:
+                ids[i] = self.known[flat[i]]
+        out, at = [], 0
+        for chunks in split:
+            out.append(b"".join(ids[at : at + len(chunks)]))
+            at += len(chunks)
+        return out
+
+    def _learn(self, chunks: set[bytes]) -> None:
         new = []
-        for chunk in set().union(*split).difference(self.known):
+        for chunk in chunks:
             ids = self.older.get(chunk)
             if ids is None:
                 new.append(chunk)
             else:
                 self.known[chunk] = ids
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.known.update((c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(part, found, strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
+        self.known.update((c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(new, found, strict=True))
 
 
 @cache
