@@ -1 +1,24 @@
+"""Column builders shared by all operators."""
 
+from ledgerloom.functions.columns import (
+    encode_by_map,
+    join_non_blank,
+    key_variants,
+    observation_key,
+    snapshot_label,
+    stable_id,
+    strongest_key,
+)
+from ledgerloom.functions.text import normalize_name, normalize_text
+
+__all__ = [
+    "encode_by_map",
+    "join_non_blank",
+    "key_variants",
+    "normalize_name",
+    "normalize_text",
+    "observation_key",
+    "snapshot_label",
+    "stable_id",
+    "strongest_key",
+]
