@@ -6,6 +6,8 @@ query reads only its own tokens' postings and ends in a top-k, so no list of all
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +47,19 @@ def bm25_index(corpus: DataFrame, id_col: str, text_col: str) -> dict[str, DataF
     return {"tokens": split, "postings": postings, "lengths": lengths, "stats": stats}
 
 
+def _occurrences(word: str) -> Column:
+    return F.size(F.filter("tokens", lambda token: token == F.lit(word))).cast("long")
+
+
 def bm25_scores(index: dict[str, DataFrame], query: str) -> DataFrame:
     """(id, score) of documents that hold a query token.
 
     The query's tokens are counted inside each document's array, so the corpus is not exploded or shuffled.
     """
-    import re
-
     words = sorted(set(re.findall(TOKEN, query.lower())))
     if not words:
         return index["lengths"].select("id", F.lit(0.0).alias("score")).limit(0)
-    counts = [F.size(F.filter("tokens", lambda t, w=w: t == w)).cast("long").alias(f"tf{i}") for i, w in enumerate(words)]
+    counts = [_occurrences(word).alias(f"tf{i}") for i, word in enumerate(words)]
     counted = index["tokens"].select("id", F.size("tokens").cast("long").alias("dl"), *counts)
     totals = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(words))])
     score = F.lit(0.0)

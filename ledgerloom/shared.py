@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,20 @@ def release(df: DataFrame) -> None:
     path = getattr(df, "_ledgerloom_path", None)
     if path:
         delete_path(df.sparkSession, path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Put this package on the executors' path, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(here)}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(target)
+    context._ledgerloom_shipped = True
