@@ -7,9 +7,9 @@ candidates. A pair is a link if its word edit similarity, 1 - distance / longer
 the banded alignment of the whole word sequences finds it.
 
 Exact copies are one node. A bucket, the texts that share a sample, never emits its pairs: each member
-meets the bucket's first text only. After components are formed, texts that share two samples at once but
-lie in different components meet too, except those of the bucket's largest component among themselves,
-so a link between texts whose first text matched only one of them is found as well.
+meets the bucket's first text only. After components are formed, texts that share two samples at once, and at least
+six of all, but lie in different components meet too, except those of the bucket's largest component among
+themselves, so a link between texts whose first text matched only one of them is found as well.
 
 Defined results: a null text is a class of its own for each row; texts without words are equal only to exact
 copies; a text of fewer than five words is one k-mer; repeated rows are in one class and each get a row;
@@ -34,6 +34,8 @@ SHINGLE = 5
 HASHES = 40
 SAMPLE = 3
 SIMILARITY = 0.8
+#: Samples that texts of different components share before they meet: at 0.8 of the k-mers in common half of all samples agree.
+LATE_SHARED = 6
 #: K-mers hashed at once.
 _BLOCK = 1 << 14
 
@@ -321,7 +323,6 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         "pairs",
     )
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(wanted, "wanted")
     places = nodes.join(wanted, "node").select("node", F.col("rep").alias("rep_id"), "text_key")
     texts = (
         rows.select("doc_id", "text_key", "text")
@@ -347,12 +348,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     held = materialize(bands, "bands")
     tally = held.groupBy("band", "part").count()
     mixed = tally.groupBy("band").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
-    apart = materialize(held.join(mixed.select("band", "main"), "band"), "mixed-bands")
-    strays = apart.filter(F.col("part") != F.col("main")).select("band", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n_words").alias("n_a"))
-    everyone = apart.select("band", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("n_words").alias("n_b"), "main")
+    apart = materialize(held.join(mixed.select("band", "main"), "band").join(sampled.select("node", "samples"), "node"), "mixed-bands")
+    strays = apart.filter(F.col("part") != F.col("main")).select(
+        "band", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n_words").alias("n_a"), F.col("samples").alias("samples_a")
+    )
+    everyone = apart.select("band", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("n_words").alias("n_b"), F.col("samples").alias("samples_b"), "main")
+    enough = F.size(F.array_intersect("samples_a", "samples_b")) >= LATE_SHARED
     late = (
         strays.join(everyone, "band")
-        .filter((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & plausible)
+        .filter((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & plausible & enough)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
