@@ -130,15 +130,15 @@ def _beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.
     """Best nodes found (queries, width) and their similarity, all queries in step."""
     n_queries, n = len(queries), len(points)
     every = np.arange(n_queries)
-    seen = np.zeros((n_queries, n), dtype=bool)
-    tag = np.zeros((n_queries, n), dtype=np.int16)
+    seen = np.zeros((n_queries, n + 1), dtype=bool)  # the last column stands for no node
+    tag = np.zeros((n_queries, n + 1), dtype=np.int16)
     ids = np.full((n_queries, width), -1, dtype=np.int64)
     sims = np.full((n_queries, width), -np.inf, dtype=np.float32)
     open_ = np.zeros((n_queries, width), dtype=bool)
 
     def add(rows: np.ndarray, found: np.ndarray) -> None:
         """Put unseen nodes (rows, any number; -1 for none) into the rows' beams."""
-        at = np.maximum(found, 0)
+        at = np.where(found >= 0, found, n)
         columns = np.broadcast_to(np.arange(found.shape[1], dtype=np.int16), found.shape)
         tag[rows[:, None], at] = columns
         new = (found >= 0) & ~seen[rows[:, None], at] & (tag[rows[:, None], at] == columns)

@@ -196,7 +196,8 @@ def fit_languages(docs: DataFrame, bound: int = MAX_PER_LANGUAGE, id_col: str =
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and accepted added at the end."""
+    """``docs`` with lang_pred, score and accepted added at the end, in place of columns of these names."""
+    docs = docs.drop("lang_pred", "score", "accepted")
     handle = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

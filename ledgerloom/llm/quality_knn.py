@@ -168,7 +168,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, l
 
 
 def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with quality_score added at the end."""
+    """``docs`` with quality_score added at the end, in place of a column of this name."""
+    docs = docs.drop("quality_score")
     handle = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
