@@ -273,24 +273,30 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the component is its smallest node.
 
-    Each round takes the smallest label around a node, then jumps to that label's own label; a round's
-    labels are written to the shared folder. Stars, which most classes are, need two rounds.
+    Each round points every node at the smallest one around it, jumps twice along these pointers, and
+    contracts the links by them, so the links shrink from round to round; stars, which most classes are,
+    vanish in one. Links and labels of a round are written to the shared folder.
     """
-    both = materialize(
-        edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(),
-        "links",
-    )
-    labels = materialize(both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("label")), "labels")
+    links = materialize(edges.filter(F.col("a") != F.col("b")).distinct(), "links")
+    whole = None
     for _ in range(limit):
-        around = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        lower = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = materialize(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        changed = moved.filter(F.col("old") != F.col("label")).limit(1).count()
-        release(labels)
-        labels = moved
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
+        labels = materialize(ends.select("e.*").groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("label")), "labels")
+        for _ in range(2):
+            ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            labels = materialize(labels.join(ahead, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+        if whole is None:
+            whole = labels
+        else:
+            moved = labels.select(F.col("node").alias("label"), F.col("label").alias("now"))
+            whole = materialize(whole.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
+        first, second = (labels.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in ("a", "b"))
+        contracted = links.join(first, "a").join(second, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        smaller = materialize(contracted.filter(F.col("a") != F.col("b")).distinct(), "links")
+        release(links)
+        links = smaller
+        if not links.limit(1).count():
+            return whole.select("node", F.col("label").alias("component"))
     raise RuntimeError("components didn't settle")
 
 
