@@ -337,12 +337,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         .select("node", "text")
     )
     words = materialize(_word_arrays(texts).dropDuplicates(["node"]), "words")
-    sized = sampled.select("node", "n_words")
-    sides = pairs.join(sized.select(F.col("node").alias("a"), F.col("n_words").alias("n_a")), "a").join(
-        sized.select(F.col("node").alias("b"), F.col("n_words").alias("n_b")), "b"
-    )
-    plausible = F.least("n_a", "n_b") >= F.floor(F.lit(least) * F.greatest("n_a", "n_b"))
-    links = materialize(_linked(sides.filter(plausible), words, least), "first-links")
+    links = materialize(_linked(pairs, words, least), "first-links")  # lengths are compared first of all there
     parts = components(links)
 
     # texts that share two samples at once and still lie apart
@@ -361,6 +356,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     )
     everyone = apart.select("band", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("n_words").alias("n_b"), F.col("samples").alias("samples_b"), "main")
     enough = F.size(F.array_intersect("samples_a", "samples_b")) >= LATE_SHARED
+    plausible = F.least("n_a", "n_b") >= F.floor(F.lit(least) * F.greatest("n_a", "n_b"))
     late = (
         strays.join(everyone, "band")
         .filter((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & plausible & enough)
