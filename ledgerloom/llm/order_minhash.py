@@ -345,21 +345,26 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     bands = (
         sampled.join(wanted, "node")
         .join(parts, "node", "left")
-        .select("node", "n_words", F.coalesce("component", "node").alias("part"), F.explode(twice).alias("band"))
+        .select("node", "n_words", F.coalesce("component", "node").alias("part"), F.posexplode(twice).alias("band_no", "band"))
     )
     held = materialize(bands, "bands")
     tally = held.groupBy("band", "part").count()
     mixed = tally.groupBy("band").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
     apart = materialize(held.join(mixed.select("band", "main"), "band").join(sampled.select("node", "samples"), "node"), "mixed-bands")
     strays = apart.filter(F.col("part") != F.col("main")).select(
-        "band", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n_words").alias("n_a"), F.col("samples").alias("samples_a")
+        "band", "band_no", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n_words").alias("n_a"), F.col("samples").alias("samples_a")
     )
     everyone = apart.select("band", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("n_words").alias("n_b"), F.col("samples").alias("samples_b"), "main")
     enough = F.size(F.array_intersect("samples_a", "samples_b")) >= LATE_SHARED
+    both_in = F.zip_with("samples_a", "samples_b", lambda x, y: x == y)
+    # a pair comes once, from the first band it shares
+    first_band = ~F.exists(
+        F.sequence(F.lit(0), F.lit(HASHES // 2 - 1)), lambda i: (i < F.col("band_no")) & F.get(both_in, 2 * i) & F.get(both_in, 2 * i + 1)
+    )
     plausible = F.least("n_a", "n_b") >= F.floor(F.lit(least) * F.greatest("n_a", "n_b"))
     late = (
         strays.join(everyone, "band")
-        .filter((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & plausible & enough)
+        .filter((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & plausible & enough & first_band)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
