@@ -312,8 +312,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         text.alias("text"),
     )
     sketches = materialize(_sketches(rows), "sketches")
+    # numbered in a fixed order, as which texts meet hangs on it
     nodes = materialize(
-        sketches.groupBy("text_key").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()),
+        sketches.groupBy("text_key").agg(F.min("doc_id").alias("rep")).orderBy("rep", "text_key").withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
     sampled = materialize(
