@@ -300,17 +300,19 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def _text_key(doc_id: Column, text: Column) -> Column:
+    """Equal for rows of equal text; null texts are told apart by their ids."""
+    return F.coalesce(F.sha2(text, 256), F.concat(F.lit("none "), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, class_id, copy_of, n_words) for each row of ``docs``.
+    """One row (doc_id, class_id, copy_of, n_words, text_key, part) for each row of ``docs``.
 
-    ``class_id`` is the smallest id of its class, ``copy_of`` the smallest id with the same text.
+    ``class_id`` is the smallest id of its class, ``copy_of`` the smallest id with the same text. ``part`` numbers the
+    classes, also those without an id or with a repeated one; ``text_key`` tells the texts of one id apart.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.sha2(text, 256), F.concat(F.lit("none "), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("text_key"),
-        text.alias("text"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(id_col), text).alias("text_key"), text.alias("text"))
     sketches = materialize(_sketches(rows), "sketches")
     # numbered in a fixed order, as which texts meet hangs on it
     nodes = materialize(
@@ -376,16 +378,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
 
     placed = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     names = placed.groupBy("part").agg(F.min("rep").alias("class_id"))
-    classes = placed.join(names, "part").select("text_key", "class_id", F.col("rep").alias("copy_of"))
-    return sketches.select("doc_id", "text_key", "n_words").join(classes, "text_key").select("doc_id", "class_id", "copy_of", "n_words")
+    classes = placed.join(names, "part").select("text_key", "class_id", F.col("rep").alias("copy_of"), "part")
+    return sketches.select("doc_id", "text_key", "n_words").join(classes, "text_key").select("doc_id", "class_id", "copy_of", "n_words", "text_key", "part")
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each class: that of the smallest id, and of rows with that id one."""
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id"))).drop("kept_id")
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class: that of the smallest id, null last; then of the smallest text key; then the first in column order."""
     repeated = docs.groupBy(id_col).count().filter(F.col("count") > 1).limit(1).count()
-    if not repeated:
-        return chosen
-    order = Window.partitionBy(id_col).orderBy(*[F.col(c) for c in docs.columns])
-    return chosen.withColumn("place_of_row", F.row_number().over(order)).filter(F.col("place_of_row") == 1).drop("place_of_row")
+    if not repeated:  # ids name rows, so class ids name classes
+        kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"))
+        return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("s")
+    kept = classes.groupBy("part").agg(smallest).select(F.col("s.doc_id").alias("kept_id"), F.col("s.text_key").alias("kept_key"))
+    keyed = docs.withColumn("key_of_row", _text_key(F.col(id_col), F.col(text_col).cast("string")))
+    chosen = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("key_of_row") == F.col("kept_key")))
+    order = Window.partitionBy(id_col, "key_of_row").orderBy(*[F.col(c) for c in docs.columns])
+    return chosen.withColumn("place_of_row", F.row_number().over(order)).filter(F.col("place_of_row") == 1).select(*docs.columns)

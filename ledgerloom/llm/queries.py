@@ -91,7 +91,8 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_of", "n_words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -123,3 +123,15 @@ def test_keep_one(spark):
     assert sorted(kept, key=str) == sorted({r.class_id for r in classes.collect()}, key=str)
     assert sum(300 <= (i or 0) < 340 for i in kept) == 1 and sum(400 <= (i or 0) < 430 for i in kept) == 30
     assert order_minhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(50)) for _ in range(12)]
+    ids = [None] * 5 + [7] * 4 + [1, 2, 3]
+    rows = [(i, t, "en", "s", 1, 1, 0.1, 1, "") for i, t in zip(ids, texts, strict=True)]
+    rows += [(None, texts[0], "en", "t", 1, 1, 0.1, 1, ""), (7, texts[5] + " end", "en", "s", 1, 1, 0.1, 1, ""), (None, texts[9], "en", "s", 1, 1, 0.1, 1, "")]
+    docs = frame(spark, rows)
+    kept = order_minhash.keep_one(docs, order_minhash.near_duplicates(docs)).collect()
+    assert len(kept) == 12 and {r.text.removesuffix(" end") for r in kept} == set(texts)
+    assert Counter(r.doc_id for r in kept) == Counter(ids)
