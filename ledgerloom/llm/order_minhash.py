@@ -6,10 +6,10 @@ so equal samples speak for similar sequences, not only for similar sets. Texts t
 candidates. A pair is a link if its word edit similarity, 1 - distance / longer length, is at least 0.8 as
 the banded alignment of the whole word sequences finds it.
 
-Exact copies are one node. A bucket, the texts that share a sample, never emits its pairs: each member
-meets the bucket's first text only. After components are formed, texts that share two samples at once, and at least
-twelve of all, but lie in different components meet too, except those of the bucket's largest component among
-themselves, so a link between texts whose first text matched only one of them is found as well.
+Exact copies are one node. A bucket, the texts that share a sample, doesn't emit all its pairs: each member
+meets the bucket's first text only. After components are formed, all texts of a bucket that lie in different
+components meet, those of the bucket's largest component among themselves excepted, as they are in one already. So every pair of
+a bucket is compared or in one class.
 
 Defined results: a null text is a class of its own for each row; texts without words are equal only to exact
 copies; a text of fewer than five words is one k-mer; repeated rows are in one class and each get a row;
@@ -24,26 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
 from ledgerloom.shared import materialize, release
 
-SHINGLE = 5
-HASHES = 40
 SAMPLE = 3
 SIMILARITY = 0.8
-#: Samples that texts of different components share before they meet. At 0.8 of the k-mers in common half of the 40
-#: agree and fewer than 12 in 3 of 1000 cases; at 0.5 an eighth agree.
-LATE_SHARED = 12
+SHINGLE = 5
+HASHES = 40
+#: Smallest words kept of each text, a byte each, and how many of them agree at least at similarity 0.8 but in 5 of 100,000 cases.
+SIGNS, LEAST_SIGNS = 64, 28
 #: K-mers hashed at once.
 _BLOCK = 1 << 14
 
 _rng = np.random.default_rng(97)
-_XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SLOT = T.mix(np.arange(1, HASHES + 1, dtype=np.uint64))
+_HASHES = SIGNS + HASHES
+_XOR = _rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
+_MULTIPLY = _rng.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SLOT = T.mix(np.arange(1, _HASHES + 1, dtype=np.uint64))
 
 
 def _smallest(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,28 +64,56 @@ def _labelled(kmers: np.ndarray) -> np.ndarray:
         return T.mix(kmers + T.occurrences(kmers).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
-    """One 64-bit sample for each hash function; none for a text without words."""
-    if not len(words):
-        return np.zeros(0, dtype=np.uint64)
-    kmers = T.shingle_hashes(words, SHINGLE)
+def _samples(kmers: np.ndarray, hashes: slice, size: int) -> np.ndarray:
+    """Places of the ``size`` labelled k-mers of smallest value, a row for each hash function."""
+    short = (kmers >> np.uint64(32)).astype(np.uint32)
+    places, values = [], []
     with np.errstate(over="ignore"):
-        short = (_labelled(kmers) >> np.uint64(32)).astype(np.uint32)
-        places, values = [], []
         for at in range(0, len(short), _BLOCK):
-            hashed = (short[None, at : at + _BLOCK] ^ _XOR[:, None]) * _MULTIPLY[:, None]
-            p, v = _smallest(hashed, SAMPLE)
+            hashed = (short[None, at : at + _BLOCK] ^ _XOR[hashes, None]) * _MULTIPLY[hashes, None]
+            p, v = _smallest(hashed, size)
             places.append(p + at)
             values.append(v)
-        place = np.concatenate(places, axis=1)
-        if len(places) > 1:
-            best, _ = _smallest(np.concatenate(values, axis=1), SAMPLE)
-            place = np.take_along_axis(place, best, axis=1)
-        place.sort(axis=1)
-        key = _SLOT.copy()
+    place = np.concatenate(places, axis=1)
+    if len(places) > 1:
+        best, _ = _smallest(np.concatenate(values, axis=1), size)
+        place = np.take_along_axis(place, best, axis=1)
+    return place
+
+
+def _keys(kmers: np.ndarray, hashes: slice) -> np.ndarray:
+    place = _samples(kmers, hashes, SAMPLE)
+    key = _SLOT[hashes].copy()
+    with np.errstate(over="ignore"):
         for column in range(place.shape[1]):
             key = T.mix(key * np.uint64(0x9FB21C651E98DF25) + kmers[place[:, column]])
-        return key
+    return key
+
+
+def sketch(words: np.ndarray) -> np.ndarray:
+    """The 64-bit samples of a text; none for a text without words."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    return _keys(_labelled(T.shingle_hashes(words, SHINGLE)), slice(SIGNS, _HASHES))
+
+
+def signs(words: np.ndarray) -> np.ndarray:
+    """A byte of the smallest labelled word for each of the first hash functions, as 64-bit numbers."""
+    if not len(words):
+        return np.zeros(SIGNS // 8, dtype=np.int64)
+    kmers = _labelled(T.shingle_hashes(words, 1))
+    return kmers[_samples(kmers, slice(0, SIGNS), 1)[:, 0]].astype(np.uint8).view("<i8")
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """How many bytes of two columns of signs are equal."""
+    total = F.lit(SIGNS)
+    for i in range(SIGNS // 8):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for step in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
 
 
 def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,18 +238,22 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, small = [], [], []
             for words in _words_of(batch):
                 sizes.append(len(words))
                 keys.append(sketch(words).view(np.int64))
+                small.append(signs(words))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            each = np.arange(len(small) + 1, dtype=np.int32) * (SIGNS // 8)
+            held = pa.ListArray.from_arrays(pa.array(each), pa.array(np.concatenate(small) if small else np.zeros(0, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), lists], names=["doc_id", "text_key", "n_words", "samples"]
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), lists, held],
+                names=["doc_id", "text_key", "n_words", "samples", "signs"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key string, n_words long, samples array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_key string, n_words long, samples array<bigint>, signs array<bigint>")
 
 
 def _word_arrays(docs: DataFrame) -> DataFrame:
@@ -311,6 +343,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     ``class_id`` is the smallest id of its class, ``copy_of`` the smallest id with the same text. ``part`` numbers the
     classes, also those without an id or with a repeated one; ``text_key`` tells the texts of one id apart.
     """
+    if least < SIMILARITY:
+        raise ValueError(f"the samples reach a similarity of {SIMILARITY}, not {least}")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(id_col), text).alias("text_key"), text.alias("text"))
     sketches = materialize(_sketches(rows), "sketches")
@@ -322,63 +356,58 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     sampled = materialize(
         sketches.join(nodes, "text_key")
         .filter(F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("n_words") > 0))
-        .select("node", "n_words", "samples")
+        .select("node", "n_words", "samples", "signs")
         .dropDuplicates(["node"]),
         "samples",
     )
-    buckets = sampled.select("node", F.explode("samples").alias("key"))
+    buckets = sampled.select("node", F.explode("samples").alias("key")).repartition("key")
     shared = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter(F.col("a") != F.col("z")).select("key", "a")
-    pairs = materialize(
-        buckets.join(shared, "key").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct(),
-        "pairs",
-    )
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = nodes.join(wanted, "node").select("node", F.col("rep").alias("rep_id"), "text_key")
-    texts = (
-        rows.select("doc_id", "text_key", "text")
-        .join(places, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (rows["text_key"] == places["text_key"]))
-        .select("node", "text")
-    )
-    words = materialize(_word_arrays(texts).dropDuplicates(["node"]), "words")
-    links = materialize(_linked(pairs, words, least), "first-links")  # lengths are compared first of all there
+    held = materialize(buckets.join(shared, "key").select("key", "node", "a"), "buckets")
+    light = sampled.select("node", "n_words", "signs")
+    first, second = (light.toDF(c, f"n_{c}", f"signs_{c}") for c in ("a", "b"))
+    plausible = (F.least("n_a", "n_b") >= F.floor(F.lit(least) * F.greatest("n_a", "n_b"))) & (_agreeing("signs_a", "signs_b") >= LEAST_SIGNS)
+    met = held.filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    pairs = materialize(met.join(second, "b").join(first, "a").filter(plausible).select("a", "b"), "pairs")
+
+    def compared(candidates: DataFrame, name: str) -> DataFrame:
+        wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        places = nodes.join(wanted, "node").select("node", F.col("rep").alias("rep_id"), F.col("text_key").alias("key"))
+        texts = rows.join(places, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("key"))).select("node", "text")
+        words = materialize(_word_arrays(texts).dropDuplicates(["node"]), "words")
+        links = materialize(_linked(candidates, words, least), name)
+        release(words)
+        return links
+
+    links = compared(pairs, "first-links")
     parts = components(links)
 
-    # texts that share two samples at once and still lie apart
-    twice = F.transform(F.sequence(F.lit(0), F.lit(HASHES // 2 - 1)), lambda i: F.xxhash64(i, F.get("samples", 2 * i), F.get("samples", 2 * i + 1)))
-    bands = (
-        sampled.join(wanted, "node")
-        .join(parts, "node", "left")
-        .select("node", "n_words", F.coalesce("component", "node").alias("part"), F.posexplode(twice).alias("band_no", "band"))
+    # texts of a bucket that still lie apart
+    placed = held.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    tally = placed.groupBy("key", "part").count()
+    mixed = tally.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
+    apart = materialize(placed.join(mixed.select("key", "main"), "key").join(light, "node"), "mixed-buckets")
+    strays, everyone = (
+        apart.select("key", "main", F.col("node").alias(c), F.col("part").alias(f"part_{c}"), F.col("n_words").alias(f"n_{c}"), F.col("signs").alias(f"signs_{c}"))
+        for c in ("a", "b")
     )
-    held = materialize(bands, "bands")
-    tally = held.groupBy("band", "part").count()
-    mixed = tally.groupBy("band").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
-    apart = materialize(held.join(mixed.select("band", "main"), "band").join(sampled.select("node", "samples"), "node"), "mixed-bands")
-    strays = apart.filter(F.col("part") != F.col("main")).select(
-        "band", "band_no", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n_words").alias("n_a"), F.col("samples").alias("samples_a")
-    )
-    everyone = apart.select("band", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("n_words").alias("n_b"), F.col("samples").alias("samples_b"), "main")
-    enough = F.size(F.array_intersect("samples_a", "samples_b")) >= LATE_SHARED
-    both_in = F.zip_with("samples_a", "samples_b", lambda x, y: x == y)
-    # a pair comes once, from the first band it shares
-    first_band = ~F.exists(
-        F.sequence(F.lit(0), F.lit(HASHES // 2 - 1)), lambda i: (i < F.col("band_no")) & F.get(both_in, 2 * i) & F.get(both_in, 2 * i + 1)
-    )
-    plausible = F.least("n_a", "n_b") >= F.floor(F.lit(least) * F.greatest("n_a", "n_b"))
-    late = (
-        strays.join(everyone, "band")
-        .filter((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & plausible & enough & first_band)
+    strays = strays.filter(F.col("part_a") != F.col("main")).drop("main")
+    once = (F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    late = materialize(
+        strays.join(everyone, "key")
+        .filter((F.col("part_a") != F.col("part_b")) & once & plausible)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+        .join(pairs, ["a", "b"], "left_anti"),
+        "late-pairs",
     )
-    more = materialize(_linked(late, words, least), "late-links")
-    if more.limit(1).count():
-        parts = components(links.unionByName(more))
-
-    placed = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    names = placed.groupBy("part").agg(F.min("rep").alias("class_id"))
-    classes = placed.join(names, "part").select("text_key", "class_id", F.col("rep").alias("copy_of"), "part")
+    for done in (held, apart, sampled):
+        release(done)
+    if late.limit(1).count():
+        parts = components(links.unionByName(compared(late, "late-links")))
+
+    whole = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    names = whole.groupBy("part").agg(F.min("rep").alias("class_id"))
+    classes = whole.join(names, "part").select("text_key", "class_id", F.col("rep").alias("copy_of"), "part")
     return sketches.select("doc_id", "text_key", "n_words").join(classes, "text_key").select("doc_id", "class_id", "copy_of", "n_words", "text_key", "part")
 
 

@@ -135,3 +135,24 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     kept = order_minhash.keep_one(docs, order_minhash.near_duplicates(docs)).collect()
     assert len(kept) == 12 and {r.text.removesuffix(" end") for r in kept} == set(texts)
     assert Counter(r.doc_id for r in kept) == Counter(ids)
+
+
+def scattered(rng: random.Random, n: int, changes: int, tag: str) -> tuple[str, str]:
+    words = [f"{tag}{rng.randint(0, 4 * n)}" for _ in range(n)]
+    other = list(words)
+    for k in range(changes):  # evenly scattered, which breaks the most k-mers
+        other[k * n // changes + rng.randrange(max(1, n // changes))] = f"new{tag}{k}"
+    return " ".join(words), " ".join(other)
+
+
+def test_texts_that_first_meet_another(spark):
+    """Each pair at 0.9 shares its beginning or end with a smaller id that is no link of either."""
+    rng = random.Random(13)
+    rows = []
+    for g in range(40):
+        left, right = scattered(rng, 100, 10, f"g{g}x")
+        words = left.split()
+        hub = " ".join(words[:55] + [f"h{g}y{i}" for i in range(45)])
+        rows += [(g, hub, "en", "s", 1, 1, 0.1, 1, ""), (100 + g, left, "en", "s", 1, 1, 0.1, 1, ""), (200 + g, right, "en", "s", 1, 1, 0.1, 1, "")]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert all(got[g] == g and got[100 + g] == got[200 + g] == 100 + g for g in range(40))
