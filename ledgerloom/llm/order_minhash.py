@@ -1,10 +1,16 @@
 """Near-duplicates by Order MinHash with banded alignment.
 
-Texts are words, and k-mers are five words in a row, labelled with how many equal ones stand before
-them. Each hash function samples the three k-mers of smallest value and keeps them in the order of the text,
-so equal samples speak for similar sequences, not only for similar sets. Texts that share a sample are
-candidates. A pair is a link if its word edit similarity, 1 - distance / longer length, is at least 0.8 as
-the banded alignment of the whole word sequences finds it.
+A pair is a link if its word edit similarity, 1 - distance / longer length, is at least 0.8 as the banded
+alignment of the whole word sequences finds it. Candidates are texts that share a sample: each hash function takes the
+three k-mers of smallest value, k-mers being labelled with how many equal ones stand before them. Texts of at
+least 32 words are sampled by two words in a row, which carry the order, in 100 hashes; those of 4 to 40 by
+single words in 40. A sample is a set: equal k-mers change their label when an earlier one goes, and with it
+their order, so ordered samples would miss links.
+
+An edit takes at most one word, or two pairs of words, from each side. So two texts of n words at similarity 0.8 exactly,
+with all changes apart, share a sample with a probability of 0.999 or more, and more similar ones nearly surely.
+They hold at least 2/3 of all their labelled words in common, so of 64 smallest words at least 28 agree but in 5 of
+100,000 cases; pairs below it are not aligned.
 
 Exact copies are one node. A bucket, the texts that share a sample, doesn't emit all its pairs: each member
 meets the bucket's first text only. After components are formed, all texts of a bucket that lie in different
@@ -32,15 +38,19 @@ from ledgerloom.shared import materialize, release
 
 SAMPLE = 3
 SIMILARITY = 0.8
-SHINGLE = 5
-HASHES = 40
-#: Smallest words kept of each text, a byte each, and how many of them agree at least at similarity 0.8 but in 5 of 100,000 cases.
+#: Texts of fewer words are similar only to equal sequences.
+LEAST_WORDS = 4
+#: Texts up to so many words are sampled by words, texts from so many on by two words in a row. At 0.8 the shorter
+#: of a pair has four fifths of the longer's words, so every pair has a kind of sample in common.
+SHORT, LONG = 40, 32
+SHORT_HASHES, LONG_HASHES = 40, 100
+#: Smallest words kept of each text, a byte each, and how many of them agree at least (see above).
 SIGNS, LEAST_SIGNS = 64, 28
 #: K-mers hashed at once.
 _BLOCK = 1 << 14
 
 _rng = np.random.default_rng(97)
-_HASHES = SIGNS + HASHES
+_HASHES = SIGNS + SHORT_HASHES + LONG_HASHES
 _XOR = _rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
 _MULTIPLY = _rng.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SLOT = T.mix(np.arange(1, _HASHES + 1, dtype=np.uint64))
@@ -94,7 +104,14 @@ def sketch(words: np.ndarray) -> np.ndarray:
     """The 64-bit samples of a text; none for a text without words."""
     if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    return _keys(_labelled(T.shingle_hashes(words, SHINGLE)), slice(SIGNS, _HASHES))
+    if len(words) < LEAST_WORDS:
+        return T.shingle_hashes(words, LEAST_WORDS)
+    keys = []
+    if len(words) <= SHORT:
+        keys.append(_keys(_labelled(T.shingle_hashes(words, 1)), slice(SIGNS, SIGNS + SHORT_HASHES)))
+    if len(words) >= LONG:
+        keys.append(_keys(_labelled(T.shingle_hashes(words, 2)), slice(SIGNS + SHORT_HASHES, _HASHES)))
+    return np.concatenate(keys)
 
 
 def signs(words: np.ndarray) -> np.ndarray:

@@ -145,6 +145,20 @@ def scattered(rng: random.Random, n: int, changes: int, tag: str) -> tuple[str,
     return " ".join(words), " ".join(other)
 
 
+def test_isolated_pairs_with_scattered_changes(spark):
+    rng = random.Random(12)
+    rows, number = [], 0
+    for n in (5, 10, 12, 20, 33, 41, 60, 150, 400):
+        for changes in {max(1, n // 20), max(1, n // 10), max(1, n * 3 // 20), n // 5}:
+            for _ in range(8):
+                for text in scattered(rng, n, changes, f"t{number}x"):
+                    rows.append((number, text, "en", "s", 1, 1, 0.1, 1, ""))
+                    number += 1
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, rows)).collect()}
+    missed = sum(got[i] != got[i + 1] for i in range(0, number, 2))
+    assert missed == 0 and all(got[i] in (i, i - 1) for i in got)
+
+
 def test_texts_that_first_meet_another(spark):
     """Each pair at 0.9 shares its beginning or end with a smaller id that is no link of either."""
     rng = random.Random(13)
