@@ -628,7 +628,7 @@ def q_synthetic(spark, sf_dir):
 @register("ml_predict")
 def q_predict(spark, sf_dir):
     _, countries, sectors = dimensions(spark, sf_dir)
-    return ml.predict(enriched(spark, sf_dir), ml.train(ml.synthetic_training(countries, sectors), trees=20))
+    return ml.predict(enriched(spark, sf_dir), ml.train(ml.synthetic_training(countries, sectors)))
 
 
 JUDGED = "judged AS (SELECT CAST(quality AS VARCHAR) AS label, CASE WHEN toxic = 1 THEN '0' ELSE '1' END AS predicted FROM labels)"

@@ -112,3 +112,23 @@ def test_enrichment_and_override(spark, tmp_path):
     before = spark.createDataFrame([("1", "operating", 0.5, "m"), ("2", "retired", 0.6, "m")], "asset_id string, predicted_lifecycle_stage string, lifecycle_stage_confidence double, model_version string")
     after = {r.asset_id: tuple(r)[1:] for r in ml.override_labels(before, spark.createDataFrame([("1", "planning", 0.9)], "asset_id string, stage string, confidence double")).collect()}
     assert after == {"1": ("planning", 0.9, "m+lora"), "2": ("retired", 0.6, "m")}
+
+
+def test_ml_predict_fits_the_whole_models(spark, monkeypatch):
+    import inspect
+
+    from ledgerloom.plans import lakehouse, queries
+
+    asked = []
+    monkeypatch.setattr(queries, "dimensions", lambda *_: (None, None, None))
+    monkeypatch.setattr(queries, "enriched", lambda *_: None)
+    monkeypatch.setattr(queries.ml, "synthetic_training", lambda *_: None)
+    monkeypatch.setattr(queries.ml, "predict", lambda *_: None)
+    whole = inspect.signature(queries.ml.train).parameters["trees"].default
+
+    def train(training, seed=42, trees=whole):
+        asked.append(trees)
+
+    monkeypatch.setattr(queries.ml, "train", train)
+    queries.q_predict(spark, "")
+    assert asked == [whole] == [inspect.signature(lakehouse.build_predictions).parameters["trees"].default] == [200]
