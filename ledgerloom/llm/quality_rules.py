@@ -2,8 +2,8 @@
 
 Statistics of every whole text come from one vectorised pass. From the statistics of labelled documents,
 sequential covering learns an ordered list of threshold conjunctions: each rule is grown condition by
-condition on one part of the sample by information gain, pruned on the other part, and kept while it is
-precise enough; what it covers is removed before the next rule is grown. The list is emitted as one
+condition on one part of the sample by information gain, with thresholds midway between values, pruned on
+the other part, and kept while it is precise enough; what it covers is removed before the next rule is grown. The list is emitted as one
 Spark conditional expression over the statistics.
 
 Defined results: a null or empty text has no words and all statistics 0, so it fails the base rules;
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.sampling import bounded_rows, one_label
+from ledgerloom.llm.sampling import bounded_rows, held_out, one_label
 from ledgerloom.shared import materialize
 
 #: Bound of the labelled sample from which the list is learned.
@@ -42,9 +42,11 @@ _CONTINUATION = (np.arange(256) & 0xC0) == 0x80
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, dtype=np.int64)
-    np.cumsum(flags, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, dtype=np.int64)
+    some = np.diff(offsets) > 0
+    if some.any():
+        out[some] = np.add.reduceat(flags, offsets[:-1][some], dtype=np.int64)
+    return out
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,20 +68,29 @@ def _salted(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """All of ``COUNTS`` for the texts ``data[offsets[i]:offsets[i + 1]]``."""
+    """All of ``COUNTS`` for the texts ``data[offsets[i]:offsets[i + 1]]``.
+
+    A text by itself is hashed in segments, so beside its bytes and a few flags for each, only
+    one number for each word and line is held.
+    """
     base = int(offsets[0])
     data, offsets = data[base : int(offsets[-1])], offsets - base
     n = len(offsets) - 1
     out = {c: np.zeros(n, dtype=np.int64) for c in COUNTS}
     if not len(data):
         return out
-    starts, ends = T.word_spans(data, offsets[1:-1])
-    doc = np.searchsorted(offsets, starts, side="right") - 1
+    if n == 1:
+        words = T.word_hashes(data)
+        doc = np.zeros(len(words), dtype=np.int32)
+    else:
+        starts, ends = T.word_spans(data, offsets[1:-1])
+        words = T.span_hashes(data, starts, ends)
+        doc = np.searchsorted(offsets, starts, side="right") - 1
+    inside = ~T.SEPARATOR[data]
     out["n_words"] = np.bincount(doc, minlength=n)
-    out["word_chars"] = _per_text(~T.SEPARATOR[data] & ~_CONTINUATION[data], offsets)
+    out["word_chars"] = _per_text(inside & ~_CONTINUATION[data], offsets)
     for name, table in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_lower", _LOWER), ("n_digits", _DIGIT), ("n_punct", _PUNCT)):
         out[name] = _per_text(table[data], offsets)
-    words = T.span_hashes(data, starts, ends)
     later, _ = _repeated(_salted(words, doc))
     out["n_distinct_words"] = out["n_words"] - np.bincount(doc[later], minlength=n)
     if len(words) >= 3:
@@ -98,9 +109,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     limit = np.append(line_start[1:], len(data))
     line_end = np.where((limit > 0) & (data[np.maximum(limit - 1, 0)] == 0x0A), limit - 1, limit)
     # a text that ends in a line break, or an empty text, must not lend its end to the next one
-    in_word = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(~T.SEPARATOR[data], out=in_word[1:])
-    full = in_word[line_end] > in_word[line_start]
+    full = np.logical_or.reduceat(inside, line_start)
     line_start, line_end = line_start[full], line_end[full]
     line_doc = np.searchsorted(offsets, line_start, side="right") - 1
     later, _ = _repeated(_salted(T.span_hashes(data, line_start, line_end), line_doc))
@@ -168,6 +177,17 @@ def _covers(rule: Rule, values: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
+def _thresholds(column: np.ndarray, cuts: int) -> np.ndarray:
+    """Midpoints between neighbouring values, at evenly spaced ranks and where the gap is widest."""
+    held = np.unique(column)
+    if len(held) < 2:
+        return np.zeros(0)
+    at = np.searchsorted(held, np.quantile(column, np.linspace(0, 1, cuts + 2)[1:-1]))
+    at = np.concatenate([at, at - 1, np.argsort(-np.diff(held))[:2]])
+    at = np.unique(at[(at >= 0) & (at < len(held) - 1)])
+    return (held[at] + held[at + 1]) / 2
+
+
 def _grow(values: dict[str, np.ndarray], bad: np.ndarray, longest: int, cuts: int) -> Rule:
     """Add the condition of the largest information gain until no good document is covered."""
     rule: list[Condition] = []
@@ -177,7 +197,7 @@ def _grow(values: dict[str, np.ndarray], bad: np.ndarray, longest: int, cuts: in
         best, gain = None, 1e-9
         for feature in FEATURES:
             column = values[feature][inside]
-            for threshold in np.unique(np.quantile(column, np.linspace(0, 1, cuts + 2)[1:-1])):
+            for threshold in _thresholds(column, cuts):
                 for above in (True, False):
                     take = column > threshold if above else column <= threshold
                     p, n = (take & bad[inside]).sum(), (take & ~bad[inside]).sum()
@@ -252,8 +272,8 @@ def base_failed() -> Column:
 
 
 def learn_from(stats: DataFrame, labels: DataFrame, label_col: str = "quality", bound: int = MAX_LABELLED) -> list[Rule]:
-    """Learn from at most ``bound`` labelled documents that pass the base rules."""
-    labelled = one_label(labels, label_col)
+    """Learn from at most ``bound`` labelled documents that pass the base rules and aren't held out."""
+    labelled = one_label(labels.filter(~held_out(F.col("doc_id"))), label_col)
     joined = (
         stats.filter(~base_failed())
         .join(labelled, F.col("doc_id") == F.col("label_id"))

@@ -1,8 +1,8 @@
 """Vectorised work on the bytes of many texts at once.
 
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``, all ASCII, so words of UTF-8 bytes are words of
-characters. Hashes are polynomials modulo 2**64 over a random table of byte values, taken from one prefix
-sum, then mixed. Long texts are cut into segments at white space, so the temporary arrays stay near
+characters. Hashes are sums of mixed chunks, so no algebraic pattern of the bytes makes two texts collide.
+Long texts are cut into segments at white space, so the temporary arrays stay near
 ``SEGMENT`` bytes whatever the length of a text.
 """
 
@@ -19,22 +19,9 @@ MAX_DOCS = 512
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to exponent n."""
-    if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, SEGMENT + 4096)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+_ODD = 0x2545F4914F6CDD1D
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,16 +32,54 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
+def _chunk_sums(data: np.ndarray, starts: np.ndarray, length: np.ndarray, place: int = 0) -> np.ndarray:
+    """Sums of the mixed eight-byte chunks of each span; ``place``: number of a span's first chunk."""
+    low = int(starts.min())
+    near = data[low : int((starts + length).max())]
+    padded = np.zeros(len(near) + 8, dtype=np.uint8)
+    padded[: len(near)] = near
+    at_byte = np.ndarray(len(near) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    chunks = (length + 7) >> 3
+    single = bool((chunks == 1).all())
+    with np.errstate(over="ignore"):
+        if single:
+            at, left, step = starts - low, length, np.uint64(0)
+        else:
+            first = np.cumsum(chunks) - chunks
+            number = np.arange(int(chunks.sum())) - np.repeat(first, chunks)
+            at, left, step = np.repeat(starts - low, chunks) + 8 * number, np.repeat(length, chunks) - 8 * number, number.astype(np.uint64)
+        value = at_byte[at] & _LOW_BYTES[np.minimum(left, 8)]
+        mixed = mix(mix(value + np.uint64(_ODD)) + (step + np.uint64(place)) * np.uint64(0x9E3779B97F4A7C15))
+        if single:
+            return mixed
+        sums = np.zeros(len(mixed) + 1, dtype=np.uint64)
+        np.cumsum(mixed, out=sums[1:])
+        return sums[first + chunks] - sums[first]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]`` for many spans: equal bytes, equal hash."""
+    """64-bit hashes of ``data[start:end]`` for many spans: equal bytes, equal hash.
+
+    A span's eight-byte chunks are mixed with their places, one by one, and the mixes are summed, in
+    runs of about ``SEGMENT`` bytes, also within a longer span.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _power_table(len(data) + 1)
+    length = (ends - starts).astype(np.int64)
+    reach = np.cumsum(length)
+    sums = np.zeros(len(starts), dtype=np.uint64)
+    i = 0
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[data] * up[: len(data)], out=prefix[1:])
-        raw = (prefix[ends] - prefix[starts]) * down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(reach, reach[i] - length[i] + SEGMENT, side="right")))
+            if length[i] <= SEGMENT:
+                sums[i:j] = _chunk_sums(data, starts[i:j], length[i:j])
+            else:
+                j = i + 1
+                for at in range(0, int(length[i]), SEGMENT):
+                    sums[i] += _chunk_sums(data, starts[i:j] + at, np.minimum(length[i:j] - at, SEGMENT), at >> 3)[0]
+            i = j
+        return mix(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
