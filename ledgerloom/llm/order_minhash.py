@@ -9,13 +9,16 @@ their order, so ordered samples would miss links.
 
 An edit takes at most one word, or two pairs of words, from each side. So two texts of n words at similarity 0.8 exactly,
 with all changes apart, share a sample with a probability of 0.999 or more, and more similar ones nearly surely.
-They hold at least 2/3 of all their labelled words in common, so of 64 smallest words at least 28 agree but in 5 of
-100,000 cases; pairs below it are not aligned.
+Two texts that are similar enough hold at least 0.8 of the longer one's labelled words in common. A signature tells
+how many they hold: exactly for up to eight words that a text repeats often, and for all others by the smallest
+labelled word of each of 256 bins; pairs four standard errors below what their lengths demand, which loses about 3 of
+100,000 at 0.8, are not aligned.
 
-Exact copies are one node. A bucket, the texts that share a sample, doesn't emit all its pairs: each member
-meets the bucket's first text only. After components are formed, all texts of a bucket that lie in different
-components meet, those of the bucket's largest component among themselves excepted, as they are in one already. So every pair of
-a bucket is compared or in one class.
+Exact copies are one node. A bucket, the texts that share a sample, doesn't emit all its pairs. First each text meets
+the first texts of its buckets, and is aligned with the one whose signature is nearest. Then, after components are
+formed, the texts of a bucket that lie outside its largest component are held against all of the bucket in blocks, by
+lengths and signatures, each pair in the smallest bucket that both share, and pairs of different components
+that pass are aligned, until their components are one. So every pair of a bucket is in one class or compared.
 
 Defined results: a null text is a class of its own for each row; texts without words are equal only to exact
 copies; a text of fewer than five words is one k-mer; repeated rows are in one class and each get a row;
@@ -44,13 +47,18 @@ LEAST_WORDS = 4
 #: of a pair has four fifths of the longer's words, so every pair has a kind of sample in common.
 SHORT, LONG = 40, 32
 SHORT_HASHES, LONG_HASHES = 40, 100
-#: Smallest words kept of each text, a byte each, and how many of them agree at least (see above).
-SIGNS, LEAST_SIGNS = 64, 28
-#: K-mers hashed at once.
+#: Bins of a signature, a byte each; words counted exactly, and how often these occur at least.
+BINS, OFTEN, HEAVY = 256, 8, 16
+_WIDE = BINS + 8 * OFTEN
+#: Standard errors that a signature may lie below what the lengths demand.
+ERRORS = 4.0
+#: Strays and texts of a bucket that one block holds against each other.
+STRAYS, TEXTS = 512, 1024
+#: K-mers hashed at once, and pairs of signatures compared at once.
 _BLOCK = 1 << 14
 
 _rng = np.random.default_rng(97)
-_HASHES = SIGNS + SHORT_HASHES + LONG_HASHES
+_HASHES = SHORT_HASHES + LONG_HASHES
 _XOR = _rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
 _MULTIPLY = _rng.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SLOT = T.mix(np.arange(1, _HASHES + 1, dtype=np.uint64))
@@ -108,29 +116,68 @@ def sketch(words: np.ndarray) -> np.ndarray:
         return T.shingle_hashes(words, LEAST_WORDS)
     keys = []
     if len(words) <= SHORT:
-        keys.append(_keys(_labelled(T.shingle_hashes(words, 1)), slice(SIGNS, SIGNS + SHORT_HASHES)))
+        keys.append(_keys(_labelled(T.shingle_hashes(words, 1)), slice(0, SHORT_HASHES)))
     if len(words) >= LONG:
-        keys.append(_keys(_labelled(T.shingle_hashes(words, 2)), slice(SIGNS + SHORT_HASHES, _HASHES)))
+        keys.append(_keys(_labelled(T.shingle_hashes(words, 2)), slice(SHORT_HASHES, _HASHES)))
     return np.concatenate(keys)
 
 
-def signs(words: np.ndarray) -> np.ndarray:
-    """A byte of the smallest labelled word for each of the first hash functions, as 64-bit numbers."""
-    if not len(words):
-        return np.zeros(SIGNS // 8, dtype=np.int64)
-    kmers = _labelled(T.shingle_hashes(words, 1))
-    return kmers[_samples(kmers, slice(0, SIGNS), 1)[:, 0]].astype(np.uint8).view("<i8")
-
+def signature(words: np.ndarray) -> bytes:
+    """Bins and often repeated words of a text.
 
-def _agreeing(a: str, b: str) -> Column:
-    """How many bytes of two columns of signs are equal."""
-    total = F.lit(SIGNS)
-    for i in range(SIGNS // 8):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for step in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+    For each bin a byte, never 0, of its smallest labelled word, 0 if it is empty; then the hash and number, 32 bits each,
+    of the most frequent words, most frequent first, whose occurrences are in no bin.
+    """
+    bins, often = np.zeros(BINS, dtype=np.uint8), np.zeros((OFTEN, 2), dtype="<u4")
+    if len(words) >= HEAVY:
+        found, times = np.unique(words, return_counts=True)
+        top = np.lexsort((found, -times))[:OFTEN]
+        top = top[times[top] >= HEAVY]
+        if len(top):
+            often[: len(top), 0], often[: len(top), 1] = found[top] >> np.uint64(32), times[top]
+            words = words[~np.isin(words, found[top])]
+    if len(words):
+        values = np.sort(_labelled(T.shingle_hashes(words, 1)))
+        at = (values >> np.uint64(56)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        bins[at[first]] = values[first] % np.uint64(255) + np.uint64(1)
+    return bins.tobytes() + often.tobytes()
+
+
+def _in_reach(n_a: np.ndarray, n_b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Whether lengths allow the similarity."""
+    return np.minimum(n_a, n_b) >= np.floor(least * np.maximum(n_a, n_b))
+
+
+def plausible(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of texts, by lengths and signatures (rows of bytes): whether they may be similar, and the share of words they seem to hold in common."""
+    longest = np.maximum(n_a, n_b)
+    needed = np.ceil(least * longest - 1e-9)
+    left, right = n_a, n_b  # words in bins
+    sure = np.zeros(len(n_a))
+    some = np.flatnonzero(a[:, BINS + 4 :].any(axis=1) | b[:, BINS + 4 :].any(axis=1))
+    if len(some):
+        (hash_a, times_a), (hash_b, times_b) = (np.moveaxis(np.ascontiguousarray(x[some, BINS:]).view("<u4").reshape(len(some), OFTEN, 2).astype(np.int64), 2, 0) for x in (a, b))
+        same = (hash_a[:, :, None] == hash_b[:, None, :]) & (times_a[:, :, None] > 0) & (times_b[:, None, :] > 0)
+        sure[some] = (np.minimum(times_a[:, :, None], times_b[:, None, :]) * same).sum(axis=(1, 2))
+        left, right = left.copy(), right.copy()
+        left[some] -= times_a.sum(axis=1)
+        right[some] -= times_b.sum(axis=1)
+        # a word listed on one side only occurs no more often on the other than the least one listed there, and only in bins
+        most_a, most_b = (np.where(t[:, -1] > 0, t[:, -1], HEAVY - 1)[:, None] for t in (times_a, times_b))
+        needed[some] -= sure[some] + np.minimum((np.minimum(times_a, most_b) * ~same.any(axis=2)).sum(axis=1), right[some])
+        needed[some] -= np.minimum((np.minimum(times_b, most_a) * ~same.any(axis=1)).sum(axis=1), left[some])
+    a, b = a[:, :BINS], b[:, :BINS]
+    agree = ((a == b) & (a > 0)).sum(axis=1)
+    used = ((a | b) > 0).sum(axis=1)
+    union = np.maximum(left + right - needed, 1)
+    share = np.clip(needed / union, 0.0, 1.0)
+    # bins draw from the union without repetition, hence the factor for a finite one
+    finite = np.clip((union - used) / np.maximum(union - 1, 1), 0.02, 1.0)
+    bound = used * share - ERRORS * np.sqrt(used * share * (1 - share) * finite) - 1
+    held = agree / np.maximum(used, 1)
+    possible = (needed <= np.minimum(left, right)) & _in_reach(n_a, n_b, least)
+    return possible & (agree >= bound), (sure + held / (1 + held) * (left + right)) / np.maximum(longest, 1)
 
 
 def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,22 +302,116 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, small = [], [], []
+            sizes, keys, signed = [], [], []
             for words in _words_of(batch):
                 sizes.append(len(words))
                 keys.append(sketch(words).view(np.int64))
-                small.append(signs(words))
+                signed.append(signature(words))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            each = np.arange(len(small) + 1, dtype=np.int32) * (SIGNS // 8)
-            held = pa.ListArray.from_arrays(pa.array(each), pa.array(np.concatenate(small) if small else np.zeros(0, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), lists, held],
-                names=["doc_id", "text_key", "n_words", "samples", "signs"],
+                [*(batch.column(c) for c in ("doc_id", "text_key", "quick")), pa.array(sizes, pa.int64()), lists, pa.array(signed, pa.binary())],
+                names=["doc_id", "text_key", "quick", "n_words", "samples", "signature"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key string, n_words long, samples array<bigint>, signs array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_key string, quick long, n_words long, samples array<bigint>, signature binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Signatures of a column as rows of bytes."""
+    data, offsets = T.buffers(column)
+    return data[offsets[0] : offsets[-1]].reshape(len(column), _WIDE)
+
+
+def _hub_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, lengths and signatures of both) those that may be similar, with how ``near`` they seem."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BLOCK):
+                part = batch.slice(at, _BLOCK)
+                ok, near = plausible(*(part.column(c).to_numpy() for c in ("n_a", "n_b")), *(_matrix(part.column(c)) for c in ("signature_a", "signature_b")))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(near)], names=["a", "b", "near"]).filter(pa.array(ok))
+
+    return pairs.mapInArrow(run, "a long, b long, near double")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, part_a, b, part_b) of different components that may be similar, each once, from the mixed buckets' members.
+
+    ``members``: key, strays, texts (numbers of both in the bucket), main, node, part, smaller (the node's smaller keys),
+    n_words, signature. Strays and all texts of a bucket are dealt by hash into blocks of a bounded size, and each
+    pair of blocks is a group. A pair with a smaller key in common belongs to that one's bucket.
+    """
+    rows = members.withColumn("s_blocks", F.ceil(F.col("strays") / STRAYS)).withColumn("t_blocks", F.ceil(F.col("texts") / TEXTS))
+    held = ["is_text", "node", "part", "main", "n_words", "signature", "smaller"]
+
+    def place(salt: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(blocks))
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+    strays = rows.filter(F.col("part") != F.col("main")).withColumns({"is_text": F.lit(False), "s": place("stray", "s_blocks"), "t": every("t_blocks")})
+    texts = rows.withColumns({"is_text": F.lit(True), "s": every("s_blocks"), "t": place("text", "t_blocks")})
+    dealt = strays.select("key", "s", "t", *held).unionByName(texts.select("key", "s", "t", *held)).repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "is_text")
+
+    def met_before(smaller: pa.Array, cut: int) -> np.ndarray:
+        """Whether a stray (row) and a text (column) have a smaller key in common."""
+        ends = np.asarray(smaller.offsets).astype(np.int64)
+        keys, owner = smaller.flatten().to_numpy(), np.repeat(np.arange(len(smaller)), np.diff(ends))
+        _, number, times = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)
+        rank = np.full(len(times), -1)
+        rank[shared] = np.arange(len(shared))
+        number = rank[number]
+        out = np.zeros((cut, len(smaller) - cut), dtype=bool)
+        for at in range(0, len(shared), 2048):
+            own = (number >= at) & (number < at + 2048)
+            held_by = np.zeros((len(smaller), min(2048, len(shared) - at)), dtype=np.float32)
+            held_by[owner[own], number[own] - at] = 1
+            out |= held_by[:cut] @ held_by[cut:].T > 0
+        return out
+
+    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind, node, part, main, size = (group.column(c).to_numpy() for c in ("is_text", "node", "part", "main", "n_words"))
+        cut = int(np.searchsorted(kind, True))
+        if not 0 < cut < len(node):
+            return
+        signed = _matrix(group.column("signature"))
+        before = met_before(group.column("smaller").combine_chunks(), cut)
+        for i in range(0, cut, 64):  # a few strays at a time against all texts of the block
+            left, right = np.arange(i, min(i + 64, cut))[:, None], np.arange(cut, len(node))[None, :]
+            once = (part[right] == main[right]) | (node[left] < node[right])
+            x, y = np.nonzero((part[left] != part[right]) & once & _in_reach(size[left], size[right]) & ~before[i : i + 64])
+            for at in range(0, len(x), _BLOCK):
+                l, r = x[at : at + _BLOCK] + i, y[at : at + _BLOCK] + cut
+                ok, _ = plausible(size[l], size[r], signed[l], signed[r])
+                l, r = l[ok], r[ok]
+                a, b = np.where(node[l] < node[r], l, r), np.where(node[l] < node[r], r, l)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[a], part[a], node[b], part[b])], names=["a", "part_a", "b", "part_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups stand in order; the last one of a batch may go on in the next."""
+        waiting: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = np.stack([batch.column(c).to_numpy() for c in ("key", "s", "t")])
+            starts = np.concatenate([[0], np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            for first, last in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                here = tuple(where[:, first].tolist())
+                if here != at:
+                    if waiting:
+                        yield from compare(pa.Table.from_batches(waiting).combine_chunks())
+                    waiting, at = [], here
+                waiting.append(batch.slice(first, last - first))
+        if waiting:
+            yield from compare(pa.Table.from_batches(waiting).combine_chunks())
+
+    return dealt.mapInArrow(run, "a long, part_a long, b long, part_b long")
 
 
 def _word_arrays(docs: DataFrame) -> DataFrame:
@@ -282,41 +423,48 @@ def _word_arrays(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, words binary")
 
 
+class Forest:
+    """Which numbers are joined so far."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they weren't joined yet."""
+        top, bottom = self.root(a), self.root(b)
+        self.parent[max(top, bottom)] = min(top, bottom)
+        return top != bottom
+
+
 def _linked(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join all pairs whose texts are similar enough."""
+    """Links (a, b) that join the components (part_a, part_b) of all pairs whose texts are similar enough.
+
+    A task doesn't align a pair whose components its earlier links have joined.
+    """
     first = words.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
     second = words.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = Forest()
         for batch in batches:
             left, right = batch.column("words_a"), batch.column("words_b")
-            keep = [
-                similar(np.frombuffer(left[i].as_buffer(), "<u8"), np.frombuffer(right[i].as_buffer(), "<u8"), least) for i in range(batch.num_rows)
-            ]
+            keep = []
+            for i, (a, b) in enumerate(zip(batch.column("part_a").to_pylist(), batch.column("part_b").to_pylist(), strict=True)):
+                found = joined.root(a) != joined.root(b) and similar(*(np.frombuffer(c[i].as_buffer(), "<u8") for c in (left, right)), least)
+                keep.append(found)
+                if found:
+                    joined.join(a, b)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.select("a", "b").join(second, "b").join(first, "a")
-    found = both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
-    return found.repartition("b").mapInArrow(_forest, "a long, b long")
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's links those that join what earlier ones didn't: no more than it has texts."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            top, bottom = root(a), root(b)
-            keep.append(top != bottom)
-            parent[max(top, bottom)] = min(top, bottom)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    both = pairs.join(second, "b").join(first, "a")
+    return both.select("a", "b", "part_a", "part_b", "words_a", "words_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -363,61 +511,56 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     if least < SIMILARITY:
         raise ValueError(f"the samples reach a similarity of {SIMILARITY}, not {least}")
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(id_col), text).alias("text_key"), text.alias("text"))
-    sketches = materialize(_sketches(rows), "sketches")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("quick"))
+    sketches = materialize(_sketches(rows.withColumn("text_key", _text_key(F.col("doc_id"), F.col("text")))), "sketches")
     # numbered in a fixed order, as which texts meet hangs on it
     nodes = materialize(
-        sketches.groupBy("text_key").agg(F.min("doc_id").alias("rep")).orderBy("rep", "text_key").withColumn("node", F.monotonically_increasing_id()),
+        sketches.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("quick").alias("quick")).orderBy("rep", "text_key").withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
     sampled = materialize(
-        sketches.join(nodes, "text_key")
+        sketches.join(nodes.select("text_key", "rep", "node"), "text_key")
         .filter(F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("n_words") > 0))
-        .select("node", "n_words", "samples", "signs")
+        .select("node", "n_words", "samples", "signature")
         .dropDuplicates(["node"]),
         "samples",
     )
     buckets = sampled.select("node", F.explode("samples").alias("key")).repartition("key")
     shared = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter(F.col("a") != F.col("z")).select("key", "a")
     held = materialize(buckets.join(shared, "key").select("key", "node", "a"), "buckets")
-    light = sampled.select("node", "n_words", "signs")
-    first, second = (light.toDF(c, f"n_{c}", f"signs_{c}") for c in ("a", "b"))
-    plausible = (F.least("n_a", "n_b") >= F.floor(F.lit(least) * F.greatest("n_a", "n_b"))) & (_agreeing("signs_a", "signs_b") >= LEAST_SIGNS)
-    met = held.filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-    pairs = materialize(met.join(second, "b").join(first, "a").filter(plausible).select("a", "b"), "pairs")
+    light = sampled.select("node", "n_words", "signature")
+    first, second = (light.toDF(c, f"n_{c}", f"signature_{c}") for c in ("a", "b"))
+    met = held.filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct().join(second, "b").join(first, "a")
+    hubs = _hub_pairs(met.filter(F.least("n_a", "n_b") >= F.floor(F.lit(least) * F.greatest("n_a", "n_b"))))
+    pairs = materialize(hubs.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
 
     def compared(candidates: DataFrame, name: str) -> DataFrame:
-        wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        places = nodes.join(wanted, "node").select("node", F.col("rep").alias("rep_id"), F.col("text_key").alias("key"))
-        texts = rows.join(places, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("key"))).select("node", "text")
+        wanted = candidates.select("a").union(candidates.select("b")).distinct().withColumnRenamed("a", "node")
+        places = nodes.join(wanted, "node").select("node", F.col("rep").alias("rep_id"), "quick", F.col("text_key").alias("key"))
+        found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (rows["quick"] == places["quick"]))
+        texts = found.filter(_text_key(F.col("doc_id"), F.col("text")) == F.col("key")).select("node", "text")
         words = materialize(_word_arrays(texts).dropDuplicates(["node"]), "words")
         links = materialize(_linked(candidates, words, least), name)
         release(words)
         return links
 
-    links = compared(pairs, "first-links")
+    links = compared(pairs.withColumns({"part_a": F.col("a"), "part_b": F.col("b")}), "first-links")
     parts = components(links)
 
     # texts of a bucket that still lie apart
     placed = held.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     tally = placed.groupBy("key", "part").count()
-    mixed = tally.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
-    apart = materialize(placed.join(mixed.select("key", "main"), "key").join(light, "node"), "mixed-buckets")
-    strays, everyone = (
-        apart.select("key", "main", F.col("node").alias(c), F.col("part").alias(f"part_{c}"), F.col("n_words").alias(f"n_{c}"), F.col("signs").alias(f"signs_{c}"))
-        for c in ("a", "b")
-    )
-    strays = strays.filter(F.col("part_a") != F.col("main")).drop("main")
-    once = (F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    late = materialize(
-        strays.join(everyone, "key")
-        .filter((F.col("part_a") != F.col("part_b")) & once & plausible)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti"),
-        "late-pairs",
+    mixed = (
+        tally.groupBy("key")
+        .agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("texts"))
+        .filter(F.col("texts") > F.col("most"))
+        .select("key", "main", "texts", (F.col("texts") - F.col("most")).alias("strays"))
     )
-    for done in (held, apart, sampled):
+    apart = materialize(placed.join(mixed, "key"), "mixed-buckets")
+    of_node = apart.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than a text has samples
+    members = apart.join(of_node, "node").join(light, "node").withColumn("smaller", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    late = materialize(_block_pairs(members).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
+    for done in (held, sampled, pairs, apart):
         release(done)
     if late.limit(1).count():
         parts = components(links.unionByName(compared(late, "late-links")))
