@@ -557,8 +557,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         .select("key", "main", "texts", (F.col("texts") - F.col("most")).alias("strays"))
     )
     apart = materialize(placed.join(mixed, "key"), "mixed-buckets")
-    of_node = apart.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than a text has samples
-    members = apart.join(of_node, "node").join(light, "node").withColumn("smaller", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    of_node = apart.groupBy("node").agg(F.collect_list("key").alias("keys")).join(light, "node")  # no more keys than a text has samples
+    members = apart.join(of_node, "node").withColumn("smaller", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
     late = materialize(_block_pairs(members).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
     for done in (held, sampled, pairs, apart):
         release(done)
