@@ -28,6 +28,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -54,6 +55,8 @@ _WIDE = BINS + 8 * OFTEN
 ERRORS = 4.0
 #: Strays and texts of a bucket that one block holds against each other.
 STRAYS, TEXTS = 512, 1024
+#: Texts, about, along each side of a cell of pairs that are aligned together.
+CELL = 64
 #: K-mers hashed at once, and pairs of signatures compared at once.
 _BLOCK = 1 << 14
 
@@ -446,25 +449,36 @@ class Forest:
 def _linked(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that join the components (part_a, part_b) of all pairs whose texts are similar enough.
 
-    A task doesn't align a pair whose components its earlier links have joined.
+    Both ends of pairs are dealt by hash, so that a cell of their square holds few texts, whose words go there once
+    for all its pairs. A task doesn't align a pair whose components its earlier links have joined.
     """
-    first = words.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-    second = words.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
+    side = max(1, math.ceil(words.count() / CELL))
+    cells = pairs.select("a", "part_a", "b", "part_b", *[F.pmod(F.xxhash64(end), F.lit(side)).alias(f"at_{end}") for end in ("a", "b")])
+    ends = cells.select("at_a", "at_b", F.col("a").alias("node")).union(cells.select("at_a", "at_b", "b")).distinct()
+    texts = ends.join(words, "node").select("at_a", "at_b", F.lit(0).alias("kind"), "node", "words", *[F.lit(None).cast("long").alias(c) for c in ("b", "part_a", "part_b")])
+    asked = cells.select("at_a", "at_b", F.lit(1).alias("kind"), F.col("a").alias("node"), F.lit(None).cast("binary").alias("words"), "b", "part_a", "part_b")
+    dealt = texts.union(asked).repartition("at_a", "at_b").sortWithinPartitions("at_a", "at_b", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = Forest()
+        held: dict[int, np.ndarray] = {}
+        at = None
         for batch in batches:
-            left, right = batch.column("words_a"), batch.column("words_b")
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column("part_a").to_pylist(), batch.column("part_b").to_pylist(), strict=True)):
-                found = joined.root(a) != joined.root(b) and similar(*(np.frombuffer(c[i].as_buffer(), "<u8") for c in (left, right)), least)
-                keep.append(found)
-                if found:
-                    joined.join(a, b)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(second, "b").join(first, "a")
-    return both.select("a", "b", "part_a", "part_b", "words_a", "words_b").mapInArrow(run, "a long, b long")
+            packed = batch.column("words")
+            found: list[tuple[int, int]] = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("at_a", "at_b", "kind", "node", "b", "part_a", "part_b")), strict=True)
+            for i, (x, y, kind, a, b, part_a, part_b) in enumerate(rows):
+                if (x, y) != at:
+                    held, at = {}, (x, y)
+                if not kind:
+                    held[a] = np.frombuffer(packed[i].as_py(), "<u8")
+                elif joined.root(part_a) != joined.root(part_b) and similar(held[a], held[b], least):
+                    joined.join(part_a, part_b)
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
