@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests), a folder for this machine."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of this machine only where Spark runs on this machine alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return base.rstrip("/")
 
@@ -25,6 +27,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a path with Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm
