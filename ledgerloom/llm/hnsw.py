@@ -1,11 +1,12 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Vectors are reduced to distinct ones, dealt by hash into shards of a fixed size, and each shard gets its own
-graph. A node links, on each of its levels, to nodes that came before it, chosen for closeness and diversity
-from exactly computed candidates; links are mutual and pruned to a fixed number, and are stored as flat
-neighbour arrays, one row of a table per shard. Queries visit every shard, in blocks, walk all levels down
-to the lowest with a beam, are scored again in double precision on the original vectors, and the
-shards' results are merged.
+graph, built from the top level down. Nodes are inserted in batches: each searches the graph built so far with a
+beam, and links to nodes chosen for closeness and diversity from what it found and from its own batch; links are
+mutual and pruned to a fixed number, and are stored as flat neighbour arrays, one row of a table per shard.
+All queries stream past every shard, walk all levels down to the lowest with a beam, are scored again in double
+precision on the original vectors, and the shards' results are merged. A shard is copied only to keep
+the cores busy while there are fewer shards than cores.
 
 The measure is the inner product. In the graph each vector has one more component that brings all of a
 shard to equal length, which turns largest inner product into nearest neighbour.
@@ -21,6 +22,7 @@ asked for are all returned; an empty table gives no rows; other columns are not
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,15 @@ from pyspark.sql import functions as F
 from ledgerloom.shared import materialize
 
 #: Vectors of a shard, about.
-SHARD = 8192
+SHARD = 1 << 14
 #: Links of a node above the lowest level; twice as many on it.
 LINKS = 16
 #: Candidates from which links are chosen.
-CANDIDATES = 64
+CANDIDATES = 96
 #: Width of the beam on the lowest level, and above.
-BEAM, BEAM_ABOVE = 128, 16
-#: Queries that go through a shard together.
-QUERY_BLOCK = 4096
-_LOCKSTEP = 256
+BEAM, BEAM_ABOVE = 256, 16
+#: Queries that walk together, and the largest batch of nodes that are inserted together.
+_LOCKSTEP, BATCH = 256, 512
 
 
 def _diverse(vectors: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -67,39 +68,61 @@ def _diverse(vectors: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int)
     return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1) if out.shape[1] < most else out
 
 
-def _link(vectors: np.ndarray, most: int) -> np.ndarray:
-    """Neighbour array (n, most) for the nodes of one level, in order of insertion."""
-    n = len(vectors)
-    heads, tails, weights = [], [], []
-    for a in range(0, n, 256):
-        b = min(a + 256, n)
-        sims = vectors[a:b] @ vectors[:b].T
-        sims[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = -np.inf
-        c = min(CANDIDATES, b)
-        near = np.argpartition(-sims, c - 1, axis=1)[:, :c]
-        held = np.take_along_axis(sims, near, axis=1)
-        order = np.argsort(-held, axis=1)
-        near, held = np.take_along_axis(near, order, axis=1), np.take_along_axis(held, order, axis=1)
-        near = np.where(np.isfinite(held), near, -1)
-        links = _diverse(vectors, near, held, LINKS)
-        row, col = np.nonzero(links >= 0)
-        i, j = row + a, links[row, col]
-        w = np.einsum("ij,ij->i", vectors[i], vectors[j])
-        heads += [i, j]
-        tails += [j, i]
-        weights += [w, w]
-    head, tail, weight = map(np.concatenate, (heads, tails, weights))
-    order = np.lexsort((tail, -weight, head))
-    head, tail, weight = head[order], tail[order], weight[order]
-    place = np.arange(len(head)) - np.searchsorted(head, head)
-    wide = 3 * most
-    near, held = np.full((n, wide), -1, dtype=np.int64), np.full((n, wide), -np.inf, dtype=np.float32)
-    ok = place < wide
-    near[head[ok], place[ok]], held[head[ok], place[ok]] = tail[ok], weight[ok]
-    out = np.full((n, most), -1, dtype=np.int32)
-    for a in range(0, n, 256):
-        out[a : a + 256] = _diverse(vectors, near[a : a + 256], held[a : a + 256], most)
-    return out
+def _best(near: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most similar candidates of each row, in order; -1 fills up."""
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+    near, sims = np.take_along_axis(near, order, axis=1), np.take_along_axis(sims, order, axis=1)
+    return np.where(np.isfinite(sims), near, -1), sims
+
+
+def _insert(points: np.ndarray, links: np.ndarray, first: int, last: int, entry: np.ndarray | None) -> None:
+    """Link nodes ``first`` to ``last`` of one level to those before them, and these back; changes ``links``."""
+    new = np.arange(first, last)
+    inside = points[first:last] @ points[first:last].T
+    inside[np.arange(len(new))[None, :] >= np.arange(len(new))[:, None]] = -np.inf  # only earlier ones
+    near, sims = np.broadcast_to(new, inside.shape), inside
+    if first:
+        start = np.zeros((len(new), 1), dtype=np.int64) if entry is None else entry
+        found, how = _beam(points[:first], links[:first], points[first:last], start, min(CANDIDATES, first))
+        near, sims = np.hstack([found, near]), np.hstack([how, sims])
+    near, sims = _best(near, sims, CANDIDATES)
+    chosen = _diverse(points, near, sims, LINKS)
+    links[first:last, : chosen.shape[1]] = chosen
+    # back: what a node has, and what now points to it
+    row, col = np.nonzero(chosen >= 0)
+    to, source = chosen[row, col], new[row]
+    if not len(to):
+        return
+    weight = np.einsum("ij,ij->i", points[to], points[source])
+    order = np.lexsort((source, -weight, to))
+    to, source, weight = to[order], source[order], weight[order]
+    place = np.arange(len(to)) - np.searchsorted(to, to)
+    ok = place < 2 * links.shape[1]
+    touched, at = np.unique(to, return_inverse=True)
+    more = np.full((len(touched), 2 * links.shape[1]), -1, dtype=np.int64)
+    more[at[ok], place[ok]] = source[ok]
+    around = np.hstack([links[touched].astype(np.int64), more])
+    for i in range(0, len(touched), 256):
+        rows, cells = touched[i : i + 256], around[i : i + 256]
+        how = np.where(cells >= 0, np.einsum("ij,ikj->ik", points[rows], points[np.maximum(cells, 0)]), -np.inf)
+        links[rows] = _diverse(points, *_best(cells, how, cells.shape[1]), links.shape[1])
+
+
+def _level(points: np.ndarray, most: int, above: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Neighbour array (n, most) of one level, whose nodes stand in order of insertion, those of the levels ``above`` first."""
+    n = len(points)
+    links = np.full((n, most), -1, dtype=np.int32)
+    first = 0
+    while first < n:
+        last = min(n, first + max(32, min(BATCH, first)))
+        entry = None
+        if above and first >= len(above[0][1]):  # the levels above stand in whole
+            entry = np.zeros((last - first, 1), dtype=np.int64)
+            for higher, lower in reversed(above):
+                entry, _ = _beam(points[: len(lower)], lower, points[first:last], entry, min(BEAM_ABOVE, higher))
+        _insert(points, links, first, last, entry)
+        first = last
+    return links
 
 
 def _lengthened(vectors: np.ndarray) -> np.ndarray:
@@ -117,13 +140,13 @@ def build_graph(vectors: np.ndarray, seed: int) -> list[tuple[np.ndarray, np.nda
     rng = np.random.default_rng(seed)
     level = np.floor(-np.log(np.maximum(rng.random(n), 1e-12)) / math.log(LINKS)).astype(int)
     order = rng.permutation(n)
-    points = _lengthened(vectors)
-    levels = []
-    for height in range(int(level.max()) + 1):
-        nodes = order[level[order] >= height]
-        links = _link(points[nodes], 2 * LINKS if height == 0 else LINKS)
-        levels.append((nodes.astype(np.int32), np.where(links >= 0, nodes[np.maximum(links, 0)], -1).astype(np.int32)))
-    return levels
+    order = order[np.argsort(-level[order], kind="stable")]  # nodes of higher levels come first
+    points = _lengthened(vectors)[order]
+    above: list[tuple[int, np.ndarray]] = []
+    for height in range(int(level.max()), -1, -1):
+        size = int((level >= height).sum())
+        above.insert(0, (size, _level(points[:size], 2 * LINKS if height == 0 else LINKS, above)))
+    return [(order[:size].astype(np.int32), np.where(links >= 0, order[np.maximum(links, 0)], -1).astype(np.int32)) for size, links in above]
 
 
 def _beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -262,52 +285,64 @@ def build_index(vectors: DataFrame, k: int = 20, shard_size: int = SHARD) -> Dat
     return materialize(dealt.groupBy("shard").applyInArrow(build, schema), "hnsw-index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
     """The k nearest found for each query row (vec_id, vector): query_id, rank, vec_id, score."""
     shards = index.count()
-    blocks = max(1, math.ceil(queries.count() / query_block))
-    asked = queries.select(
-        F.col("vec_id").alias("query_id"),
-        F.col("vector").alias("query"),
-        F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"),
-    )
-    # every block of queries visits every shard
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    copies = max(1, math.ceil(cores / max(1, shards)))  # so that few shards still keep all cores busy
+    columns = [c for c in index.columns if c != "shard"]
+    graphs = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumns({"query_id": F.lit(None).cast("long"), "query": F.lit(None).cast("array<double>")})
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.pmod(F.xxhash64("vec_id", F.lit("copy")), F.lit(copies)).cast("int").alias("copy"))
+    # every query visits every shard
     visits = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))))
-    copies = index.withColumn("shard", F.col("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    numbered = copies.select("shard", "block", *[c for c in index.columns if c != "shard"])
-
-    def visit(graph: pa.Table, rows: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.list_(pa.float64()))})
-        if not graph.num_rows or not rows.num_rows:
-            return none
-        row = {c: graph.column(c)[0].as_py() for c in graph.column_names}
-        vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
-        counts = np.frombuffer(row["member_counts"], "<i4")
-        ends = np.cumsum(counts)
-        members = np.frombuffer(row["members"], "<i8")
-        levels = _unpack_levels(row["level_sizes"], row["nodes"], row["links"])
-        ids = rows.column("query_id").to_numpy()
-        q = rows.column("query").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        found = search_graph(vectors, levels, q, max(beam, k + 1))
-        out_ids, out_scores = [], []
-        for i in range(len(ids)):
-            nodes = np.sort(found[i][found[i] >= 0])
-            score = (vectors[nodes] * q[i]).sum(axis=1)  # the same sum for equal vectors, so ties are ties
-            size = counts[nodes]
-            flat = np.repeat(ends[nodes] - size, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            who, how = members[flat], np.repeat(score, size)
-            other = who != ids[i]
-            who, how = who[other], how[other]
-            order = np.lexsort((who, -how))[:k]
-            out_ids.append(who[order])
-            out_scores.append(how[order])
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(out_ids, pa.list_(pa.int64())), "score": pa.array(out_scores, pa.list_(pa.float64()))})
-
-    found = (
-        numbered.groupBy("shard", "block")
-        .cogroup(visits.groupBy("shard", "block"))
-        .applyInArrow(visit, "query_id long, vec_id array<bigint>, score array<double>")
-    )
+    visits = visits.withColumns({c: F.lit(None).cast(index.schema[c].dataType) for c in columns})
+    order = ["shard", "copy", "query_id", "query", *columns]
+    together = graphs.select(order).unionByName(visits.select(order)).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("query_id").asc_nulls_first())
+
+    class Shard:
+        def __init__(self, row: dict):
+            self.vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
+            self.counts = np.frombuffer(row["member_counts"], "<i4")
+            self.ends = np.cumsum(self.counts)
+            self.members = np.frombuffer(row["members"], "<i8")
+            self.levels = _unpack_levels(row["level_sizes"], row["nodes"], row["links"])
+
+        def visit(self, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            found = search_graph(self.vectors, self.levels, q, max(beam, k + 1))
+            out_ids, out_scores = [], []
+            for i in range(len(ids)):
+                nodes = np.sort(found[i][found[i] >= 0])
+                score = (self.vectors[nodes] * q[i]).sum(axis=1)  # the same sum for equal vectors, so ties are ties
+                size = self.counts[nodes]
+                flat = np.repeat(self.ends[nodes] - size, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                who, how = self.members[flat], np.repeat(score, size)
+                other = who != ids[i]
+                who, how = who[other], how[other]
+                best = np.lexsort((who, -how))[:k]
+                out_ids.append(who[best])
+                out_scores.append(how[best])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard stands before the queries that visit it."""
+        held, at = None, None
+        for batch in batches:
+            where = list(zip(batch.column("shard").to_pylist(), batch.column("copy").to_pylist(), strict=True))
+            first = 0
+            while first < len(where):
+                last = first
+                while last < len(where) and where[last] == where[first]:
+                    last += 1
+                part = batch.slice(first, last - first)
+                if where[first] != at:
+                    at, held = where[first], Shard({c: part.column(c)[0].as_py() for c in columns})
+                    part = part.slice(1)
+                if part.num_rows:
+                    flat = part.column("query").flatten().to_numpy(zero_copy_only=False)
+                    yield held.visit(part.column("query_id").to_numpy(), flat.reshape(part.num_rows, -1))
+                first = last
+
+    found = together.mapInArrow(run, "query_id long, vec_id array<bigint>, score array<double>")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("hit"))
