@@ -3,12 +3,14 @@
 Every 2-, 3- and 4-byte piece of a text's letters, with white space marking word ends, hashes to an
 embedding. A text is the mean of its pieces' embeddings, and a linear softmax on that mean gives the
 languages. Both layers are trained together by stochastic gradient descent in numpy. A temperature fitted
-on documents held back from training calibrates the probabilities; a text whose best calibrated
-probability is below the threshold is rejected. The threshold is the loosest of a small quantile of the
-scores of correctly labelled held-back documents and a fixed cap, so that clean documents stay.
+on documents held back from training calibrates the probabilities. Two thresholds reject a text: its best
+calibrated probability, and its familiarity, the mean logarithm of its pieces' share among all pieces trained on, which
+tells strings that are no language from confident guesses. Each is the ``RISK`` quantile of the held-back
+documents that are labelled correctly, less a tenth of the way to what chance would give, so that
+of clean documents about that share is lost.
 
-As mean and softmax layer are linear, prediction folds both into one score per piece and language and
-averages those over the whole text.
+As mean and softmax layer are linear, prediction folds both into one score per piece and language, with one more
+column for the familiarity, and averages those over the whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; a table
 with no usable label gives ``und`` for all; repeated rows get equal results; other columns are not read.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
@@ -33,6 +35,8 @@ DIMENSIONS = 16
 #: Bound of the labelled sample for each language.
 MAX_PER_LANGUAGE = 400
 SIZES = (2, 3, 4)
+#: Share of correctly labelled documents that each threshold may reject, about.
+RISK = 0.001
 LETTER = regex.compile(r"\p{L}")
 
 # ASCII letters in lower case, bytes of other characters as they are, all else a word end.
@@ -66,10 +70,20 @@ def histogram(data: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # (BUCKETS, languages): a piece's share of each language's logit
+    scores: np.ndarray  # (BUCKETS, languages + 1): a piece's share of each language's logit, and its familiarity
     bias: np.ndarray
     temperature: float
     threshold: float
+    least_familiar: float
+    calibration_error: float  # of held-back documents, before any is rejected
+
+
+def expected_calibration_error(prob: np.ndarray, right: np.ndarray, bins: int = 10) -> float:
+    """Mean gap between confidence and accuracy over bins of confidence, by their sizes."""
+    at = np.minimum((prob * bins).astype(int), bins - 1)
+    size = np.bincount(at, minlength=bins)
+    gap = np.abs(np.bincount(at, prob, bins) - np.bincount(at, right, bins))
+    return float(gap.sum() / max(size.sum(), 1))
 
 
 def train(
@@ -114,23 +128,33 @@ def train(
             weights -= np.float32(step / 8) * (mean.T @ error)
             bias -= np.float32(step / 80) * error.sum(axis=0)
             np.subtract.at(embeddings, buckets, np.float32(step * 8) * share[:, None] * to_mean[rows])
-    scores = embeddings @ weights
-    temperature, threshold = 1.0, 0.0
+    trained = np.zeros(BUCKETS)
+    for i in fit:
+        np.add.at(trained, texts[i][0], shares[i])
+    familiar = np.log((trained + 1e-3) / (trained.sum() + 1e-3 * BUCKETS)).astype(np.float32)
+    scores = np.hstack([embeddings @ weights, familiar[:, None]])
+    temperature, threshold, least_familiar, error = 1.0, 0.0, -np.inf, 0.0
     if len(held):
         logits = np.concatenate([means(np.array([i]))[0] for i in held]) @ weights + bias
-        options = np.geomspace(0.5, 20, 60)
+        options = np.geomspace(0.02, 20, 121)
         losses = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(held)), y[held]], 1e-9)).mean() for t in options]
         temperature = float(options[int(np.argmin(losses))])
         prob = softmax(logits / temperature)
         right = prob.argmax(axis=1) == y[held]
+        error = expected_calibration_error(prob.max(axis=1), right)
         if right.any():
-            threshold = float(min(0.5, np.quantile(prob.max(axis=1)[right], 0.001) / 2))
-    return Model(languages, scores.astype(np.float32), bias, temperature, threshold)
-
-
-def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Calibrated probabilities for each text of a buffer, over whole texts."""
-    n, k = len(offsets) - 1, len(model.languages)
+            chance = 1 / len(languages)
+            low = float(np.quantile(prob.max(axis=1)[right], RISK))
+            threshold = min(low - (low - chance) / 10, 1.0)
+            known = np.array([float((familiar[texts[i][0]] * shares[i]).sum()) for i in held])[right]
+            low = float(np.quantile(known, RISK))
+            least_familiar = low - (low - np.log(1 / BUCKETS)) / 10 if low > np.log(1 / BUCKETS) else low
+    return Model(languages, scores.astype(np.float32), bias, temperature, threshold, float(least_familiar), error)
+
+
+def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Calibrated probabilities and familiarity for each text of a buffer, over whole texts."""
+    n, k = len(offsets) - 1, len(model.languages) + 1
     sums, pieces = np.zeros((n, k)), np.zeros(n)
     for i, j in T.groups(offsets):
         whole = [data[offsets[i] : offsets[j]]] if j - i > 1 else T.segments(data[offsets[i] : offsets[j]])
@@ -145,29 +169,27 @@ def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                     sums_to = np.zeros(len(buckets) + 1)
                     np.cumsum(model.scores[:, lang][buckets], out=sums_to[1:])
                     sums[i:j, lang] += sums_to[last] - sums_to[first]
-    logits = (sums / np.maximum(pieces, 1)[:, None] + model.bias) / model.temperature
+    means = sums / np.maximum(pieces, 1)[:, None]
+    logits = (means[:, :-1] + model.bias) / model.temperature
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    return e / e.sum(axis=1, keepdims=True), means[:, -1]
 
 
 def fit_languages(docs: DataFrame, bound: int = MAX_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Train on at most ``bound`` documents of each language outside the held-out fold.
 
-    The ids are chosen first, by a hash, on a scan of narrow columns; the executors turn the chosen texts
-    into histograms of fixed size, and only those reach the driver.
+    Ids are counted by language first, and a hash chooses the matching share of each, so what is sent
+    follows the bound, not the table; the executors turn the chosen texts into histograms of fixed size,
+    and only those reach the driver. One row of each id is used, however often it repeats.
     """
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col, F.lit("sample")), id_col)
-    chosen = (
-        usable.select(id_col, lang_col)
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= bound)
-        .select(F.col(id_col).alias("sample_id"))
-        .distinct()
-    )
-    picked = usable.select(id_col, F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(
-        F.broadcast(chosen), F.col(id_col) == F.col("sample_id"), "left_semi"
-    )
+    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    counted = usable.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.approx_count_distinct(id_col).alias("n")).collect()  # one row per language
+    wide = 1 << 31
+    order = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(wide))
+    limit = F.lit(0)
+    for r in counted:
+        limit = F.when(F.col(lang_col).cast("string") == r.l, int(min(1.0, (1.2 * bound + 40) / max(r.n, 1)) * wide)).otherwise(limit)
+    picked = usable.filter(order < limit).select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), order.alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,14 +201,17 @@ def fit_languages(docs: DataFrame, bound: int = MAX_PER_LANGUAGE, id_col: str =
                 buckets.append(at.astype("<i4").tobytes())
                 counts.append(h[at].astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("lang"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())],
-                names=["id", "lang", "buckets", "counts"],
+                [*(batch.column(c) for c in ("id", "lang", "place")), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())],
+                names=["id", "lang", "place", "buckets", "counts"],
             )
 
-    sparse = picked.select(F.col(id_col).cast("string").alias("id"), "text", "lang").mapInArrow(run, "id string, lang string, buckets binary, counts binary")
-    # one row of each id, however often an id repeats
-    rows = sparse.groupBy("id").agg(F.min(F.struct("lang", "buckets", "counts")).alias("r")).select("r.*").collect()
-    rows = sorted((r for r in rows if len(r.buckets)), key=lambda r: (bytes(r.buckets), bytes(r.counts), r.lang))
+    sparse = picked.select(F.col(id_col).cast("string").alias("id"), "lang", "place", "text").mapInArrow(run, "id string, lang string, place long, buckets binary, counts binary")
+    found = sparse.groupBy("id").agg(F.min(F.struct("lang", "place", "buckets", "counts")).alias("r")).select("id", "r.*").collect()
+    rows, taken = [], dict.fromkeys((r.l for r in counted), 0)
+    for r in sorted(found, key=lambda r: (r.place, r.id)):
+        if len(r.buckets) and taken[r.lang] < bound:
+            rows.append(r)
+            taken[r.lang] += 1
     if not rows:
         return None
     shuffled = np.random.default_rng(1).permutation(len(rows))
@@ -208,13 +233,14 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             lettered = np.array([x is not None and LETTER.search(x) is not None for x in column.to_pylist()], dtype=bool)
             if fitted is None or not len(lettered):
                 best, score = np.zeros(len(lettered), dtype=int), np.zeros(len(lettered))
-                lettered[:] = False
+                lettered[:] = trusted = False
             else:
-                prob = predict(fitted, *T.buffers(column))
+                prob, known = predict(fitted, *T.buffers(column))
                 best, score = prob.argmax(axis=1), prob.max(axis=1)
+                trusted = (score >= fitted.threshold) & (known >= fitted.least_familiar)
             score = np.where(lettered, score, 0.0)
             pred = [fitted.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
-            accepted = lettered & (score >= (fitted.threshold if fitted else 1.0))
+            accepted = lettered & trusted
             extra = [pa.array(pred, pa.string()), pa.array(score), pa.array(accepted)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "lang_pred", "score", "accepted"])
 

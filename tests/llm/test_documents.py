@@ -84,8 +84,8 @@ def test_language_prediction_over_a_buffer_is_that_of_each_text():
     sparse = [(np.flatnonzero(h).astype("<i4"), h[np.flatnonzero(h)]) for h in counted]
     model = language_id.train([s for s in sparse if len(s[0])], [("en", "fr")[i % 2] for i, s in enumerate(sparse) if len(s[0])], epochs=2)
     data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
-    together = language_id.predict(model, data, offsets)
-    alone = np.vstack([language_id.predict(model, np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)])) for t in texts])
+    together = np.column_stack(language_id.predict(model, data, offsets))
+    alone = np.vstack([np.column_stack(language_id.predict(model, np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))) for t in texts])
     assert np.allclose(together, alone, atol=1e-9)
 
 
