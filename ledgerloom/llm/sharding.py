@@ -1,21 +1,22 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of a fixed number of slots. Bytes are summed per slot, and a versioned map
-says which shard holds which slot. Rebalancing edits the map: it moves single slots from the largest
-shard to the smallest until sizes are near equal, so a new version differs from the last in a few slots
-only. Everything on the data path is DataFrame operations; the driver sees one number per slot.
-
-Defined results: a null text has no bytes, so size 1 and the checksum of nothing; a null id hashes like any
-other value; repeated rows each get a slot of their own; an empty table gives no rows; other columns of
-the input, whatever their names, are not read.
+Every record hashes, by id and text, into one of a fixed number of slots. Bytes are summed per slot, and a versioned
+map, a stored table, says which shard holds which slot. Rebalancing starts from the latest stored version and edits it:
+it moves single slots from the largest shard to the smallest until sizes are near equal, so a new version
+differs from the last in a few slots only. Rows are placed by joining the stored version, one row for
+each slot. Everything on the data path is DataFrame operations; the driver sees one number per slot.
+
+Defined results: a null text has no bytes, so size 1 and the checksum of nothing; a null or repeated id is spread by
+its texts, and rows equal in both share a virtual slot, which no map can split; each row gets a place of its own; an
+empty table gives no rows; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.shared import materialize, shared_path
+from ledgerloom.shared import materialize, path_exists, shared_path
 
 #: Slots of the map; far more than shards, few enough for the driver.
 SLOTS = 4096
@@ -23,9 +24,9 @@ SLOTS = 4096
 PARTS = 16
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
+def virtual_slot(*key: str, slots: int = SLOTS) -> Column:
     """The fixed slot of a key."""
-    return F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(slots)).cast("int")
+    return F.pmod(F.xxhash64(*key, F.lit("slot")), F.lit(slots)).cast("int")
 
 
 def initial_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -95,30 +96,38 @@ def grow(current: list[int], sizes: dict[int, int], shards: int) -> list[int]:
     return out
 
 
-def lookup(mapping: list[int], slot: Column) -> Column:
-    """The map as one constant array, so looking a slot up needs no join."""
-    return F.element_at(F.split(F.lit(",".join(map(str, mapping))), ","), slot + 1).cast("int")
+def store_map(spark: SparkSession, mapping: list[int], version: int, path: str) -> None:
+    """Add a version of a map to its table: (slot, shard) under version=N."""
+    rows = spark.createDataFrame(list(enumerate(mapping)), "slot int, shard int")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def store_map(spark, versions: list[list[int]], path: str) -> None:
-    """Write all versions of a map: (version, slot, shard)."""
-    table = spark.range(len(versions[0])).select(F.col("id").cast("int").alias("slot"))
-    rows = None
-    for number, mapping in enumerate(versions):
-        one = table.select(F.lit(number).alias("version"), "slot", lookup(mapping, F.col("slot")).alias("shard"))
-        rows = one if rows is None else rows.unionByName(one)
-    rows.coalesce(1).write.mode("overwrite").parquet(path)
+def stored_map(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of a map: (slot, shard, version)."""
+    return spark.read.schema("slot int, shard int, version int").parquet(path)
+
+
+def latest_map(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """Number and content of the latest version; None if there is none."""
+    if not path_exists(spark, path):
+        return None
+    table = stored_map(spark, path)
+    version = table.agg(F.max("version")).first()[0]
+    rows = table.filter(F.col("version") == version).collect()  # one row per slot
+    return version, [r.shard for r in sorted(rows, key=lambda r: r.slot)]
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None
 ) -> DataFrame:
     """Place every row in a shard, with sizes near equal, and number the rows of each shard.
 
+    ``map_path``: the stored map to start from, and to add a version to where sizes ask for it; a new one if left out.
     Returns the id, size, text_crc32, virtual_slot, map_version, shard and slot (the row's place in its
     shard, from 0 without gaps).
     """
     spark = docs.sparkSession
+    path = map_path or shared_path(spark, "slot-map")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -126,35 +135,33 @@ def shard_documents(
         F.crc32(text.cast("binary")).alias("text_crc32"),
     ).withColumns(
         {
-            "virtual_slot": virtual_slot(F.col("doc_id"), slots),
+            "virtual_slot": virtual_slot("doc_id", "text_crc32", "size", slots=slots),
             "part": F.pmod(F.hash("text_crc32", "doc_id", F.lit("part")), F.lit(PARTS)),
         }
     )
     rows = materialize(rows, "shard-sizes")
     cells = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     per_slot = cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")).collect()  # one row per slot at most
-    sizes = {r.virtual_slot: r.bytes for r in per_slot}
-    first = initial_map(shards, slots)
-    mapping = rebalance(first, sizes, shards)
-    versions = [first] if mapping == first else [first, mapping]
-    store_map(spark, versions, shared_path(spark, "slot-map"))
-
-    shard = lookup(mapping, F.col("virtual_slot"))
+    known = latest_map(spark, path)
+    if known is None:
+        known = 0, initial_map(shards, slots)
+        store_map(spark, known[1], 0, path)
+    version, current = known
+    if len(current) != slots or max(current) >= shards:
+        raise ValueError(f"the map at {path} has {len(current)} slots and {max(current) + 1} shards, not {slots} and at most {shards}")
+    mapping = rebalance(current, {r.virtual_slot: r.bytes for r in per_slot}, shards)
+    if mapping != current:
+        version += 1
+        store_map(spark, mapping, version, path)
+
+    placed = stored_map(spark, path).filter(F.col("version") == version).select(F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("shard", shard).select(
-        "virtual_slot", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")
+    starts = cells.join(F.broadcast(placed), "virtual_slot").select(  # a row per slot
+        "virtual_slot", "part", "shard", "map_version", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")
     )
     place = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("place", F.row_number().over(place) - 1)
         .join(starts, ["virtual_slot", "part"])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            "virtual_slot",
-            F.lit(len(versions) - 1).alias("map_version"),
-            "shard",
-            (F.col("place") + F.col("begin")).cast("long").alias("slot"),
-        )
+        .select("doc_id", "size", "text_crc32", "virtual_slot", "map_version", "shard", (F.col("place") + F.col("begin")).cast("long").alias("slot"))
     )
