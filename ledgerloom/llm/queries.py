@@ -18,9 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_token_files(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=1
-    )
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32", "doc_no", "file_no")
 
 
@@ -92,7 +90,7 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "copy_of", "n_words")
+    return found.select("doc_id", "class_id", "copy_of", "n_words", "part")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

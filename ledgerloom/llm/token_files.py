@@ -10,8 +10,8 @@ Layout, all little-endian::
     u64 document offsets, in tokens (documents + 1) | u64 block offsets, in bytes of the payload (blocks + 1)
     u64 length of the ids' section | document ids, an Arrow IPC stream | payload
 
-Files go to the shared folder under names of their own; a lost task writes a new one and the manifest,
-a table with one row per file, names only those of tasks that ended well. As files are in id order, running
+Files go to the shared folder under names of their own, each closed at ``FILE_BYTES``; a lost task writes new ones and the
+manifest, a table with one row per file, names only those of tasks that ended well. As files are in id order, running
 sums over the manifest give the place of every document in the whole corpus.
 
 Defined results: a null text is an empty one; an empty text has only the end id; rows with equal ids
@@ -45,6 +45,8 @@ BLOCK = 8192
 _HEAD = struct.Struct("<4sIIIQQ")
 #: Entries of encoded chunks a worker keeps in each of two generations.
 CACHE = 600_000
+#: Bytes of packed ids at which a file is closed and the next one begun.
+FILE_BYTES = 128 << 20
 # A full stop or comma at the end of a chunk, behind a sign that isn't a letter or digit.
 _SIGN_BEFORE_STOP = re.compile(rb"[^0-9A-Za-z\x80-\xff\x20\x09-\x0D][.,]")
 # Bytes of characters other than ASCII and the letters from U+00C0 to U+00FF.
@@ -57,7 +59,9 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids as a bit string, least significant bit first, filled up to a whole byte."""
+    """Ids as a bit string, least significant bit first, filled up to a whole byte; an id of more bits is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
     if bits == 16:
         return ids.astype("<u2").tobytes()
     spread = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
@@ -82,6 +86,7 @@ class Writer:
         self.left = np.zeros(0, dtype=np.uint32)
         self.docs = [0]
         self.doc_ids: list[pa.Array] = []
+        self.size = 0
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Documents with these lengths, their token ids joined."""
@@ -91,6 +96,7 @@ class Writer:
         full = len(ids) // self.block
         for i in range(full):
             self.blocks.append(pack(ids[i * self.block : (i + 1) * self.block], self.bits))
+            self.size += len(self.blocks[-1])
         self.left = ids[full * self.block :]
 
     def parts(self) -> Iterator[bytes]:
@@ -224,17 +230,25 @@ def encoder_for(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer_path: str,
+    vocabulary: int | None = None,
+    end_id: int = 1,
+    folder: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Encode every text, append ``end_id``, write files in ascending id order; returns the manifest.
 
-    The manifest has one row per file: file_no, path, n_docs, n_tokens, first_token. Texts are shuffled
+    ``vocabulary``: the number of ids, by default the tokenizer's. The manifest has one row per file: file_no, path,
+    n_docs, n_tokens, first_id, first_token, first_doc. Texts are shuffled
     once, by ranges of id and text hash, so a hot id is spread too; encoding and writing happen in the task
     that holds the range.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "token-files")
-    bits = width(vocabulary)
+    bits = width(max(vocabulary or _tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn(
         "tie", F.xxhash64("text")
@@ -244,53 +258,54 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_for(tokenizer_path)
         end = struct.pack("<I", end_id)
-        writer, first = Writer(bits), None
+        writer, first, number = Writer(bits), None, 0
+
+        def close() -> pa.RecordBatch:
+            store, path = store_of(folder)
+            store.create_dir(path, recursive=True)
+            name = f"{uuid.uuid4().hex}.lltf"
+            with store.open_output_stream(f"{path}/{name}") as out:
+                for part in writer.parts():
+                    out.write(part)
+            held = [[first[0].as_py()], [first[1].as_py()], [number], [name], [len(writer.docs) - 1], [writer.docs[-1]]]
+            kinds = [first[0].type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(held, kinds, strict=True)], names=["first_id", "first_tie", "number", "name", "n_docs", "n_tokens"])
+
         for batch in batches:
             data, offsets = T.buffers(batch.column("text"))
             raw = data.tobytes()
-            if batch.num_rows and first is None:
-                first = (batch.column("doc_id")[0], batch.column("tie")[0])
             for i, j in T.groups(offsets):
+                if first is None:
+                    first = (batch.column("doc_id")[i], batch.column("tie")[i])
                 coded = encode([raw[offsets[k] : offsets[k + 1]] for k in range(i, j)])
                 joined = np.frombuffer(b"".join(x for c in coded for x in (c, end)), dtype="<u4")
                 writer.add(batch.column("doc_id")[i:j], joined, np.array([len(c) // 4 + 1 for c in coded], dtype=np.int64))
-        if first is None:
-            return
-        store, path = store_of(folder)
-        store.create_dir(path, recursive=True)
-        name = f"{uuid.uuid4().hex}.lltf"
-        with store.open_output_stream(f"{path}/{name}") as out:
-            for part in writer.parts():
-                out.write(part)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([first[0].as_py()], first[0].type),
-                pa.array([first[1].as_py()], pa.int64()),
-                pa.array([name]),
-                pa.array([len(writer.docs) - 1], pa.int64()),
-                pa.array([writer.docs[-1]], pa.int64()),
-            ],
-            names=["first_id", "first_tie", "name", "n_docs", "n_tokens"],
-        )
-
-    written = ranged.mapInArrow(run, f"first_id {kind}, first_tie long, name string, n_docs long, n_tokens long")
+                if writer.size >= file_bytes:
+                    yield close()
+                    writer, first, number = Writer(bits), None, number + 1
+        if first is not None:
+            yield close()
+
+    written = ranged.mapInArrow(run, f"first_id {kind}, first_tie long, number long, name string, n_docs long, n_tokens long")
     manifest = materialize(written, "token-manifest")  # one row per file; from here on the files are fixed
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_tie")
+    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_tie", "number")
     return manifest.select(
         (F.row_number().over(order) - 1).cast("long").alias("file_no"),
         F.concat(F.lit(f"{folder}/"), "name").alias("path"),
         "n_docs",
         "n_tokens",
+        "first_id",
         F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_token"),
         F.coalesce(F.sum("n_docs").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_doc"),
     )
 
 
-def read_token_files(manifest: DataFrame, id_type: str = "long", run_docs: int = 256) -> DataFrame:
+def read_token_files(manifest: DataFrame, run_docs: int = 256) -> DataFrame:
     """Every document as the files hold it: doc_id, doc_no (its place in the corpus), start, n_tokens, ids_crc32, file_no.
 
     Each task opens the files of its manifest rows and reads runs of documents by their block offsets.
     """
+    id_type = manifest.schema["first_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
