@@ -1,6 +1,7 @@
 """Column builders shared by all operators."""
 
 from ledgerloom.functions.columns import (
+    blank_if_falsy,
     encode_by_map,
     join_non_blank,
     key_variants,
@@ -12,6 +13,7 @@ from ledgerloom.functions.columns import (
 from ledgerloom.functions.text import normalize_name, normalize_text
 
 __all__ = [
+    "blank_if_falsy",
     "encode_by_map",
     "join_non_blank",
     "key_variants",

@@ -10,11 +10,19 @@ KEY_NAMES = ("REGISTRY_ENTITY_ID", "LEI", "SOURCE_ENTITY_ID", "NAME_COUNTRY")
 
 
 def stable_id(prefix: str, *parts: Column, width: int = 12) -> Column:
-    """``prefix_`` and the first hex digits of the SHA-1 of the parts joined by ``||``; a null part is blank."""
+    """``prefix_`` and the first hex digits of the SHA-1 of the parts joined by ``||``; a null part is blank.
+
+    Numbers that may be zero go through :func:`blank_if_falsy` first.
+    """
     joined = F.concat_ws("||", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha1(joined), 1, width))
 
 
+def blank_if_falsy(number: Column) -> Column:
+    """A number or boolean as the text that ids are made of: zero and false count as blank, like null."""
+    return F.when(number.cast("double") == 0, F.lit("")).otherwise(number.cast("string"))
+
+
 def join_non_blank(separator: str, *parts: Column) -> Column:
     """Parts joined, without those that are null or blank."""
     return F.trim(F.concat_ws(separator, *[F.nullif(p, F.lit("")) for p in parts]))

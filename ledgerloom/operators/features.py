@@ -68,9 +68,7 @@ def prompt(features: tuple[str, ...] = FEATURES) -> Column:
         "Classify the lifecycle stage of the following energy infrastructure asset.\n"
         "Respond with exactly one of: planning, construction, operating, decommissioning, retired.\n\nAsset features:"
     )
-    order = ("capacity_mw", "sector_encoded", "latitude", "longitude", "altitude_avg_m", "territorial_type_encoded", "gdp_tier", "solar_irradiance_kwh_m2_yr",
-             "wind_speed_avg_ms", "regulatory_stability_score", "total_appearances", "presence_rate", "reliability_score", "typical_lifespan_years")
-    lines = [F.concat(F.lit(f"  {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("unknown"))) for c in order if c in features]
+    lines = [F.concat(F.lit(f"  {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("unknown"))) for c in features]
     return F.concat_ws("\n", F.lit(head), *lines, F.lit(""), F.lit("Lifecycle stage:"))
 
 

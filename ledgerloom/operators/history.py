@@ -32,27 +32,28 @@ def snapshot_diff(rows: DataFrame, calendar: DataFrame, key: Sequence[str], comp
     copies the last one at the next snapshot's date, with ``drop_values`` put in; it comes once per gap.
     """
     own = Window.partitionBy(*key).orderBy("seq")
-    before = F.lag("seq").over(own)
+    before, after = F.lag("seq").over(own), F.lead("seq").over(own)
     same = F.lit(True)
     for c in compare:
         same = same & F.col(c).eqNullSafe(F.lag(c).over(own))
-    marked = (
-        rows.withColumn(status, F.when(before.isNull() | (before < F.col("seq") - 1), "NEW").when(same, "UNCHANGED").otherwise("CHANGED"))
-        .withColumn("next_seq", F.lead("seq").over(own))
-        .withColumn("is_dropped", F.lit(False))
+    marked = rows.withColumns(
+        {
+            status: F.when(before.isNull() | (before < F.col("seq") - 1), "NEW").when(same, "UNCHANGED").otherwise("CHANGED"),
+            "goes_missing": (F.col("seq") < F.col("last_seq")) & (after.isNull() | (after > F.col("seq") + 1)),
+        }
     )
-    gone = marked.filter((F.col("seq") < F.col("last_seq")) & (F.col("next_seq").isNull() | (F.col("next_seq") > F.col("seq") + 1)))
-    calendar_cols = [c for c in calendar.columns]
-    gone = (
-        gone.withColumn("seq", F.col("seq") + 1)
-        .drop(*[c for c in calendar_cols if c != "seq"])
+    # one pass: a row whose key goes missing becomes two, and the calendar gives both their dates
+    turns = F.when(F.col("goes_missing"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    both = (
+        marked.drop(*[c for c in calendar.columns if c != "seq"])
+        .withColumn("is_dropped", F.explode(turns))
+        .withColumn("seq", F.col("seq") + F.col("is_dropped").cast("long"))
+        .withColumn(status, F.when(F.col("is_dropped"), "DROPPED").otherwise(F.col(status)))
         .join(calendar, "seq")
-        .withColumn(status, F.lit("DROPPED"))
-        .withColumn("is_dropped", F.lit(True))
     )
     for name, value in (drop_values or {}).items():
-        gone = gone.withColumn(name, value)
-    return marked.unionByName(gone.select(*marked.columns)).drop("next_seq")
+        both = both.withColumn(name, F.when(F.col("is_dropped"), value).otherwise(F.col(name)))
+    return both.select(*rows.columns, status, "is_dropped")
 
 
 def forward_status(rows: DataFrame, key: Sequence[str], hash_col: str, status: str) -> DataFrame:

@@ -13,13 +13,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import key_variants, stable_id, strongest_key
-from ledgerloom.shared import materialize, release
+from ledgerloom.shared import materialize
 
 ORDER = ("snapshot_date", "source_priority", "source_record_id")
+_TIES = ("observation_source", "entity_name", "country_code", "registry_entity_id", "lei", "source_entity_id")
 
 
 def number_observations(observations: DataFrame) -> DataFrame:
-    """Add the identifier variants and a number that names a row; fixed by writing the rows."""
+    """Add the identifier variants and a number that names a row; fixed by writing the rows.
+
+    Numbers follow the order of arrival, equal places by content, whatever the partitions of the input.
+    """
+    ties = [c for c in _TIES if c in observations.columns]
+    observations = observations.orderBy(*ORDER, *ties)
     numbered = observations.withColumn(
         "variants", key_variants(F.col("registry_entity_id"), F.col("lei"), F.col("source_entity_id"), F.col("normalized_name"), F.col("country_code"))
     ).withColumn("obs_no", F.monotonically_increasing_id())
@@ -43,17 +49,17 @@ def resolve(numbered: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     links = materialize(_predecessors(numbered), "predecessors")
     hops = materialize(
-        numbered.select("obs_no").join(links, "obs_no", "left").select("obs_no", F.coalesce("parent", "obs_no").alias("root")), "hops"
+        numbered.select("obs_no").join(links, "obs_no", "left").select("obs_no", F.coalesce("parent", "obs_no").alias("root"), F.col("parent").isNull().alias("settled")), "hops"
     )
+    # a row is settled once its root is a start; settled rows are only looked up from then on
+    settled, going = hops.filter("settled"), hops.filter("not settled")
     for _ in range(most_rounds):
-        ahead = hops.select(F.col("obs_no").alias("root"), F.col("root").alias("far"))
-        moved = materialize(hops.join(ahead, "root").select("obs_no", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "hops")
-        release(hops)
-        done = not moved.filter("moved").limit(1).count()
-        hops = moved.select("obs_no", "root")
-        hops._ledgerloom_path = moved._ledgerloom_path
-        if done:
+        if not going.limit(1).count():
             break
+        ahead = settled.unionByName(going).select(F.col("obs_no").alias("root"), F.col("root").alias("far"), "settled")
+        moved = materialize(going.select("obs_no", "root").join(ahead, "root").select("obs_no", F.col("far").alias("root"), "settled"), "hops")
+        settled, going = settled.unionByName(moved.filter("settled")), moved.filter("not settled")
+    hops = settled.select("obs_no", "root")
     starts = numbered.select(
         F.col("obs_no").alias("root"),
         stable_id("ent", F.element_at("variants", 1)["key_name"], F.element_at("variants", 1)["key_value"]).alias("entity_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import encode_by_map, normalize_name, stable_id
+from ledgerloom.functions import blank_if_falsy, encode_by_map, normalize_name, stable_id
 from ledgerloom.operators.resolve import lookup
 
 # Precedence of the sources.
@@ -90,7 +90,6 @@ def ownership_observations(assets: DataFrame, index: DataFrame) -> DataFrame:
     asset = stable_id("ast", F.col("asset_source_id"))
     keyed = named.withColumn("pct", pct).withColumn("asset_id", asset).withColumn("lifecycle_key", F.concat_ws("|", "owner_entity_id", "asset_id"))
     key = F.concat_ws("|", "lifecycle_key", F.lit("infrastructure_assets"))
-    hashed_pct = F.when(F.col("pct") == 0, F.lit("")).otherwise(F.col("pct").cast("string"))
     return keyed.select(
         stable_id("oobs", F.col("snapshot_date"), F.col("source_record_id")).alias("ownership_observation_id"),
         "owner_entity_id",
@@ -110,7 +109,7 @@ def ownership_observations(assets: DataFrame, index: DataFrame) -> DataFrame:
         "snapshot_date",
         F.col("snapshot_date").alias("observation_date"),
         F.col("snapshot_date").alias("source_version"),
-        stable_id("orow", *[F.col(c) for c in ("owner_entity_id", "asset_id", "asset_name", "asset_country", "asset_sector")], hashed_pct).alias("row_hash"),
+        stable_id("orow", *[F.col(c) for c in ("owner_entity_id", "asset_id", "asset_name", "asset_country", "asset_sector")], blank_if_falsy(F.col("pct"))).alias("row_hash"),
     )
 
 

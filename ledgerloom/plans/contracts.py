@@ -16,32 +16,75 @@ _KINDS = {
 }
 
 
-def _columns(text: str) -> dict[str, str]:
-    short = {"S": "string", "D": "number", "L": "integer", "B": "boolean"}
-    return {name: short[kind] for name, kind in (part.split(":") for part in text.split())}
-
-
-_ENTITY = "entity_id:S observation_key:S observation_key_hash:S entity_name:S normalized_name:S country_code:S entity_type:S"
-# Required columns of every published table. S string, D number, L integer, B boolean.
-CONTRACTS = {
-    name: _columns(text)
-    for name, text in {
-        "bronze_source_record": "load_id:S snapshot_date:S source_name:S source_record_id:S source_business_key:S record_type:S entity_name:S country_code:S raw_payload:S",
-        "entity_observations": f"entity_observation_id:S {_ENTITY} observation_source:S source_record_id:S source_business_key:S snapshot_date:S source_version:S entity_resolution_method:S source_priority:L",
-        "entity_master": "entity_id:S entity_name:S normalized_name:S country_code:S entity_type:S registry_entity_id:S lei:S source_systems:S match_basis:S first_seen_snapshot:S last_seen_snapshot:S is_current:B",
-        "asset_master": "asset_id:S asset_name:S asset_country:S asset_sector:S capacity_mw:D operator_entity_id:S source_systems:S first_seen_snapshot:S last_seen_snapshot:S is_current:B",
-        "ownership_observations": "ownership_observation_id:S owner_entity_id:S owner_entity_name:S asset_id:S asset_name:S asset_country:S asset_sector:S capacity_mw:D ownership_pct:D lifecycle_key:S observation_key:S observation_key_hash:S observation_source:S source_record_id:S source_business_key:S snapshot_date:S observation_date:S source_version:S row_hash:S",
-        "relationship_edges": "relationship_id:S from_node_type:S from_node_id:S to_node_type:S to_node_id:S relationship_type:S ownership_pct:D asset_role:S source_name:S snapshot_date:S evidence_key:S change_status:S",
-        "entity_master_comprehensive_scd4": "entity_id:S entity_name:S snapshot_date:S snapshot_version:S snapshot_sequence_number:L is_latest_snapshot:B change_status_backward:S is_dropped:B",
-        "entity_master_current": "entity_id:S entity_name:S normalized_name:S country_code:S entity_type:S current_observation_source:S current_snapshot_date:S entity_resolution_method:S",
-        "entity_master_event_log": "entity_id:S snapshot_date:S snapshot_sequence_number:L event_type:S",
-        "ownership_comprehensive_scd4": "owner_entity_id:S asset_id:S observation_key:S row_hash:S snapshot_date:S snapshot_version:S snapshot_sequence_number:L is_latest_snapshot:B change_status_backward:S row_change_status_backward:S is_dropped:B change_status_forward:S row_change_status_forward:S",
-        "ownership_lifecycle": "lifecycle_key:S owner_entity_id:S asset_id:S observation_sources:S source_count:L first_appearance_version:S first_appearance_sequence:L last_appearance_version:S last_appearance_sequence:L total_appearances:L total_snapshots_available:L presence_rate:D consecutive_appearances_current:L max_consecutive_appearances:L gap_periods:L reliability_score:D lifecycle_status:S",
-        "ownership_history_scd2": "ownership_sk:S business_key_hash:S owner_entity_id:S owner_entity_name:S asset_id:S asset_name:S asset_country:S asset_sector:S capacity_mw:D ownership_pct:D observation_source:S effective_date:S expiry_date:S is_current_flag:S version_number:L change_reason:S dw_batch_id:S",
-        "owner_infrastructure_exposure_snapshot": "snapshot_date:S owner_entity_id:S asset_country:S asset_sector:S asset_count:L controlled_asset_count:L owned_capacity_mw:D average_ownership_pct:D relationship_count:L change_status_vs_prior_snapshot:S",
-        "asset_lifecycle_predictions": "asset_id:S asset_name:S asset_country:S asset_sector:S capacity_mw:D latitude:D longitude:D altitude_avg_m:D territorial_type:S economic_level:S gdp_tier:L solar_irradiance_kwh_m2_yr:D wind_speed_avg_ms:D regulatory_stability_score:D typical_lifespan_years:D predicted_lifecycle_stage:S lifecycle_stage_confidence:D estimated_retirement_year:L estimated_commissioning_year:L predicted_remaining_years:D predicted_capacity_factor_pct:D model_version:S",
-    }.items()
+# Required columns of every published table and their kinds.
+_TABLES = {
+    "bronze_source_record": (
+        "load_id string, snapshot_date string, source_name string, source_record_id string, source_business_key string, record_type string, entity_name string, "
+        "country_code string, raw_payload string"
+    ),
+    "entity_observations": (
+        "entity_observation_id string, entity_id string, observation_key string, observation_key_hash string, entity_name string, normalized_name string, "
+        "country_code string, entity_type string, observation_source string, source_record_id string, source_business_key string, snapshot_date string, "
+        "source_version string, entity_resolution_method string, source_priority integer"
+    ),
+    "entity_master": (
+        "entity_id string, entity_name string, normalized_name string, country_code string, entity_type string, registry_entity_id string, lei string, "
+        "source_systems string, match_basis string, first_seen_snapshot string, last_seen_snapshot string, is_current boolean"
+    ),
+    "asset_master": (
+        "asset_id string, asset_name string, asset_country string, asset_sector string, capacity_mw number, operator_entity_id string, source_systems string, "
+        "first_seen_snapshot string, last_seen_snapshot string, is_current boolean"
+    ),
+    "ownership_observations": (
+        "ownership_observation_id string, owner_entity_id string, owner_entity_name string, asset_id string, asset_name string, asset_country string, "
+        "asset_sector string, capacity_mw number, ownership_pct number, lifecycle_key string, observation_key string, observation_key_hash string, "
+        "observation_source string, source_record_id string, source_business_key string, snapshot_date string, observation_date string, source_version string, "
+        "row_hash string"
+    ),
+    "relationship_edges": (
+        "relationship_id string, from_node_type string, from_node_id string, to_node_type string, to_node_id string, relationship_type string, "
+        "ownership_pct number, asset_role string, source_name string, snapshot_date string, evidence_key string, change_status string"
+    ),
+    "entity_master_comprehensive_scd4": (
+        "entity_id string, entity_name string, snapshot_date string, snapshot_version string, snapshot_sequence_number integer, is_latest_snapshot boolean, "
+        "change_status_backward string, is_dropped boolean"
+    ),
+    "entity_master_current": (
+        "entity_id string, entity_name string, normalized_name string, country_code string, entity_type string, current_observation_source string, "
+        "current_snapshot_date string, entity_resolution_method string"
+    ),
+    "entity_master_event_log": (
+        "entity_id string, snapshot_date string, snapshot_sequence_number integer, event_type string"
+    ),
+    "ownership_comprehensive_scd4": (
+        "owner_entity_id string, asset_id string, observation_key string, row_hash string, snapshot_date string, snapshot_version string, "
+        "snapshot_sequence_number integer, is_latest_snapshot boolean, change_status_backward string, row_change_status_backward string, is_dropped boolean, "
+        "change_status_forward string, row_change_status_forward string"
+    ),
+    "ownership_lifecycle": (
+        "lifecycle_key string, owner_entity_id string, asset_id string, observation_sources string, source_count integer, first_appearance_version string, "
+        "first_appearance_sequence integer, last_appearance_version string, last_appearance_sequence integer, total_appearances integer, "
+        "total_snapshots_available integer, presence_rate number, consecutive_appearances_current integer, max_consecutive_appearances integer, "
+        "gap_periods integer, reliability_score number, lifecycle_status string"
+    ),
+    "ownership_history_scd2": (
+        "ownership_sk string, business_key_hash string, owner_entity_id string, owner_entity_name string, asset_id string, asset_name string, "
+        "asset_country string, asset_sector string, capacity_mw number, ownership_pct number, observation_source string, effective_date string, "
+        "expiry_date string, is_current_flag string, version_number integer, change_reason string, dw_batch_id string"
+    ),
+    "owner_infrastructure_exposure_snapshot": (
+        "snapshot_date string, owner_entity_id string, asset_country string, asset_sector string, asset_count integer, controlled_asset_count integer, "
+        "owned_capacity_mw number, average_ownership_pct number, relationship_count integer, change_status_vs_prior_snapshot string"
+    ),
+    "asset_lifecycle_predictions": (
+        "asset_id string, asset_name string, asset_country string, asset_sector string, capacity_mw number, latitude number, longitude number, "
+        "altitude_avg_m number, territorial_type string, economic_level string, gdp_tier integer, solar_irradiance_kwh_m2_yr number, wind_speed_avg_ms number, "
+        "regulatory_stability_score number, typical_lifespan_years number, predicted_lifecycle_stage string, lifecycle_stage_confidence number, "
+        "estimated_retirement_year integer, estimated_commissioning_year integer, predicted_remaining_years number, predicted_capacity_factor_pct number, "
+        "model_version string"
+    ),
 }
+CONTRACTS = {table: dict(column.split(" ") for column in columns.split(", ")) for table, columns in _TABLES.items()}
 CONTRACTS["ownership_current"] = CONTRACTS["ownership_history_scd2"]
 
 #: Tables that are published, in order.

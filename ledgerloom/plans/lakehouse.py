@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import re
+import logging
+from collections.abc import Sequence
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +15,36 @@ from ledgerloom.operators.calendar import snapshot_calendar
 from ledgerloom.operators.quality import gold_checks
 from ledgerloom.plans.contracts import require, validate_published
 from ledgerloom.plans.publish import Summary, publish
-from ledgerloom.shared import materialize
-from ledgerloom.sources import bronze_records, read_dimension, read_snapshots, register, write_bronze, write_layer
+from ledgerloom.shared import materialize, release
+from ledgerloom.sources import bronze_records, read_any_snapshots, read_dimension, read_snapshots, register, write_bronze, write_layer
 from ledgerloom.sources.snapshots import COUNTRY_SCHEMA, SECTOR_SCHEMA
-from ledgerloom.sources.tables import write_report
+from ledgerloom.sources.tables import publish_analytics, write_report
 
 MODES = ("commit", "dry_run")
 _SCD4_NAMES = {"seq": "snapshot_sequence_number", "is_latest": "is_latest_snapshot"}
 
 
-def build_silver(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+class WorkingTables:
+    """Writes intermediate tables, and deletes them when all that reads them is done."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(materialize(df, name))
+        return self.held[-1]
+
+    def release(self) -> None:
+        for df in self.held:
+            release(df)
+        self.held = []
+
+
+def build_silver(frames: dict[str, DataFrame], scratch: WorkingTables | None = None) -> dict[str, DataFrame]:
+    keep = (scratch or WorkingTables()).keep
     numbered = resolve.number_observations(silver.observations_of(frames))
-    resolved = materialize(resolve.resolve(numbered), "resolved")
-    index = materialize(resolve.identifier_index(resolved), "identifiers")
+    resolved = keep(resolve.resolve(numbered), "resolved")
+    index = keep(resolve.identifier_index(resolved), "identifiers")
     assets, hierarchy = frames["infrastructure_assets"], frames["entity_hierarchy"]
     tables = {
         "entity_observations": resolve.entity_observations(resolved),
@@ -65,14 +82,16 @@ def ownership_scd2(scd4: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def build_gold(silver_tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def build_gold(silver_tables: dict[str, DataFrame], scratch: WorkingTables | None = None) -> dict[str, DataFrame]:
+    keep = (scratch or WorkingTables()).keep
     entities = silver_tables["entity_observations"]
     owned = silver_tables["ownership_observations"]
-    entity_calendar = snapshot_calendar(entities)
-    calendar = snapshot_calendar(owned)
-    by_entity = materialize(entity_scd4(entities, entity_calendar), "entity-scd4")
-    by_owner = materialize(ownership_scd4(owned, calendar), "ownership-scd4")
-    versions = materialize(ownership_scd2(by_owner, calendar), "ownership-scd2")
+    entities, owned = keep(entities, "entity-observations"), keep(owned, "ownership-observations")
+    entity_calendar = keep(snapshot_calendar(entities), "entity-calendar")
+    calendar = keep(snapshot_calendar(owned), "ownership-calendar")
+    by_entity = keep(entity_scd4(entities, entity_calendar), "entity-scd4")
+    by_owner = keep(ownership_scd4(owned, calendar), "ownership-scd4")
+    versions = keep(ownership_scd2(by_owner, calendar), "ownership-scd2")
     current = history.current_rows(by_entity, "entity_id", ["source_priority", "entity_name", "entity_observation_id"])
     lifecycles = history.lifecycle(by_owner, ["lifecycle_key", "owner_entity_id", "asset_id"], "observation_source")
     tables = {
@@ -96,19 +115,23 @@ def build_predictions(assets: DataFrame, lifecycles: DataFrame, countries: DataF
     return require(ml.predict(features.enrich(assets, lifecycles, countries, sectors), models), "asset_lifecycle_predictions")
 
 
-def scan_public_safety(root: str, banned: tuple[str, ...] = ()) -> list[str]:
-    """Files of a tree that hold a banned token or a path below someone's home folder."""
-    patterns = [re.compile(r"/(?:Users)/[^/\n]+/Documents/[^/\n]+/"), re.compile(r"/(?:home)/[^/\n]+/[^/\n]+/")]
-    skipped = {".git", "__pycache__", ".pytest_cache", ".ruff_cache", ".venv", "node_modules"}
-    findings = []
-    for path in sorted(Path(root).rglob("*")):
-        if not path.is_file() or path.suffix in {".parquet", ".pyc", ".crc"} or skipped & set(path.parts) or path.name == "lakehouse.py":
-            continue
-        text = path.read_text(errors="ignore")
-        findings += [f"{path.relative_to(root)} contains banned token {token!r}" for token in banned if token in text]
-        if any(p.search(text) for p in patterns):
-            findings.append(f"{path.relative_to(root)} contains a path below a home folder")
-    return findings
+#: Paths below someone's own folder, which published files shouldn't name.
+PRIVATE_PATHS = ("/Users/[^/]+/Documents/", "/home/[^/]+/[^/]+/")
+#: Files whose text is looked at.
+TEXT_FILES = "*.{py,md,txt,toml,json,jsonl,yml,yaml,sql,csv,cfg,ini,sh}"
+
+
+def scan_public_safety(spark: SparkSession, root: str, banned: Sequence[str] = (), patterns: Sequence[str] = PRIVATE_PATHS, files: str = TEXT_FILES) -> list[str]:
+    """What the text files below ``root`` hold of banned words and private paths, one line for each file and rule.
+
+    The files are read by Spark, each as one row; hidden ones are passed over, as its readers do.
+    """
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", files)
+    texts = reader.text(root).select(F.col("_metadata.file_path").alias("file"), "value")
+    rules = [F.when(F.contains("value", F.lit(word)), F.lit(f"banned word {word!r}")) for word in banned]
+    rules += [F.when(F.col("value").rlike(pattern), F.lit(f"private path like {pattern}")) for pattern in patterns]
+    found = texts.select("file", F.explode(F.array_compact(F.array(*rules))).alias("rule")).orderBy("file", "rule")
+    return [f"{row.file}: {row.rule}" for row in found.collect()]  # findings only
 
 
 def run_lakehouse(
@@ -121,10 +144,13 @@ def run_lakehouse(
     sink_root: str | None = None,
     safety_root: str | None = None,
     trees: int = 200,
+    catalog: bool = False,
 ) -> dict[str, int]:
-    """Run all layers; returns row counts. ``dry_run`` computes and validates all but writes only the report.
+    """Run all layers; returns row counts. ``dry_run`` computes and validates all but of its results writes only the report.
 
-    The safety scan runs before anything is written. The report is written on success and on failure.
+    Working tables go to the shared folder in both modes and are deleted at the end. The safety scan, of ``safety_root``,
+    runs before anything is written. The report is written on success and on failure, and names the
+    artifacts that were complete by then; that it can't be written is an error in a dry run only.
     """
     if publish_mode not in MODES:
         raise ValueError(f"publish_mode must be one of {', '.join(MODES)}, not {publish_mode!r}")
@@ -133,18 +159,19 @@ def run_lakehouse(
         "schema_version": "1", "publish_mode": publish_mode, "status": "failed", "started_at": datetime.now(timezone.utc).isoformat(), "row_counts": {},
         "artifacts": [], "validation": [], "quality": {}, "sink": {"status": "skipped", "rollback_status": "not_applicable"}, "safety_findings": [], "error": None,
     }
+    scratch = WorkingTables()
     try:
         if safety_root:
-            report["safety_findings"] = scan_public_safety(safety_root)
+            report["safety_findings"] = scan_public_safety(spark, safety_root)
             if report["safety_findings"]:
                 raise ValueError(f"public safety: {report['safety_findings'][0]}")
         frames = read_snapshots(spark, sample_root)
         bronze = None
-        for family, rows in frames.items():
+        for family, rows in read_any_snapshots(spark, sample_root).items():
             records = require(bronze_records(rows, family), "bronze_source_record")
             bronze = records if bronze is None else bronze.unionByName(records)
-        silver_tables = build_silver(frames)
-        gold_tables = build_gold(silver_tables)
+        silver_tables = build_silver(frames, scratch)
+        gold_tables = build_gold(silver_tables, scratch)
         countries = read_dimension(spark, f"{reference_root}/country_attributes.csv", COUNTRY_SCHEMA)
         sectors = read_dimension(spark, f"{reference_root}/sector_lifecycle.csv", SECTOR_SCHEMA)
         lifecycles = gold_tables["ownership_lifecycle"]
@@ -160,10 +187,13 @@ def run_lakehouse(
         counted |= {"owner_infrastructure_exposure_snapshot": gold_tables["owner_infrastructure_exposure_snapshot"], "asset_lifecycle_predictions": predictions}
         if commit:
             write_bronze(bronze, f"{output_root}/bronze")
-            paths = write_layer(silver_tables, f"{output_root}/silver")
-            gold_paths = write_layer(gold_tables, f"{output_root}/gold")
-            report["artifacts"] = sorted([*paths.values(), *gold_paths.values()])
-            register(spark, gold_paths, "dw_")
+            done: list[str] = report["artifacts"]  # grows table by table, so a failure leaves the list of what is complete
+            paths = write_layer(silver_tables, f"{output_root}/silver", done)
+            gold_paths = write_layer(gold_tables, f"{output_root}/gold", done)
+            done.sort()
+            register(spark, gold_paths, catalog=catalog)
+            if catalog:
+                publish_analytics(spark)
             if sink_root:
                 report["sink"] = vars(publish(spark, {n: spark.read.parquet(p) for n, p in gold_paths.items()}, sink_root))
             counted = {name: spark.read.parquet({**paths, **gold_paths}[name]) for name in counted}
@@ -178,8 +208,14 @@ def run_lakehouse(
             report["sink"] = vars(error.publish_summary)
         raise
     finally:
+        scratch.release()
         if report_path:
-            write_report(report, report_path)
+            try:
+                write_report(spark, report, report_path)
+            except Exception:
+                if not commit:
+                    raise
+                logging.getLogger(__name__).warning("the report could not be written to %s", report_path, exc_info=True)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -192,8 +228,10 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--sink")
     parser.add_argument("--publish-mode", choices=MODES, default="commit")
     parser.add_argument("--report-path")
+    parser.add_argument("--safety-root", default=".", help="folder whose text files are scanned first; empty for none")
+    parser.add_argument("--catalog", action="store_true", help="register tables in the session's catalog, with analytics views")
     args = parser.parse_args(argv)
-    counts = run_lakehouse(get_session(), args.samples, args.reference_data, args.output, args.publish_mode, args.report_path, args.sink)
+    counts = run_lakehouse(get_session(), args.samples, args.reference_data, args.output, args.publish_mode, args.report_path, args.sink, args.safety_root or None, catalog=args.catalog)
     for name, count in counts.items():
         print(f"{name}: {count}")
     return 0

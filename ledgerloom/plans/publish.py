@@ -15,6 +15,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.connection import Connection
 from ledgerloom.plans.contracts import PUBLISHED, CONTRACTS, require
 from ledgerloom.shared import delete_path
 
@@ -51,13 +52,31 @@ def latest_batch(log: DataFrame) -> DataFrame:
     return log.groupBy().agg(F.max_by("batch_id", "run_seq").alias("batch_id"), F.max("run_seq").alias("run_seq")).filter("run_seq is not null")
 
 
+def claim_run(spark: SparkSession, root: str) -> int:
+    """The next run number, held by no one else: the file that claims it can be created only once."""
+    last = latest_batch(read_log(spark, root)).collect()
+    number = (last[0].run_seq if last else 0) + 1
+    jvm = spark.sparkContext._jvm
+    while True:
+        claim = jvm.org.apache.hadoop.fs.Path(f"{root}/_run_claims/{number}")
+        if claim.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(claim):
+            return number
+        number += 1
+
+
 def read_published(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     found = latest_batch(read_log(spark, root)).collect()
     return spark.read.parquet(f"{root}/{check_identifier(table)}/batch_id={found[0].batch_id}") if found else None
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, batch_id: str | None = None) -> Summary:
-    """Stage every table, then append to the log; on failure delete what was staged and raise with the summary."""
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, batch_id: str | None = None, connection: Connection | None = None) -> Summary:
+    """Stage every table, then append to the log; on failure delete what was staged and raise with the summary.
+
+    With a ``connection`` the staged rows also go to a database, stamped with the batch, before the log has it; its readers
+    take the batch that the log names.
+    """
+    if connection is not None:
+        connection.check()
     summary = Summary(batch_id=batch_id or uuid.uuid4().hex)
     staged: list[str] = []
     try:
@@ -66,8 +85,9 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, batch_
             staged.append(path)
             require(tables[name], name).select(*CONTRACTS[name]).write.mode("overwrite").parquet(path)
             summary.rows[name] = spark.read.parquet(path).count()
-        last = latest_batch(read_log(spark, root)).collect()
-        entry = [(summary.batch_id, datetime.now(timezone.utc), (last[0].run_seq if last else 0) + 1)]
+            if connection is not None:
+                connection.write(spark.read.parquet(path), name, summary.batch_id)
+        entry = [(summary.batch_id, datetime.now(timezone.utc), claim_run(spark, root))]
         spark.createDataFrame(entry, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/lakehouse_batch_log")
         summary.status = "success"
         summary.rollback_status = "clean"

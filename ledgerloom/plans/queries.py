@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import encode_by_map, key_variants, normalize_name, observation_key, stable_id, strongest_key
-from ledgerloom.operators import features, history, mart, metrics, ml, quality, resolve, search, silver
+from ledgerloom.operators import entity_index, features, history, mart, metrics, ml, quality, resolve, search, silver
 from ledgerloom.operators.calendar import snapshot_calendar
+from ledgerloom.shared import materialize
 from ledgerloom.sources.bronze import bronze_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +73,11 @@ def ownership_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quarter = F.date_format(F.date_trunc("quarter", "l_shipdate"), "yyyy-MM-dd")
-    return snapshot_calendar(table(spark, sf_dir, "lineitem").select(quarter.alias("snapshot_date")))
+def cells_and_calendar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cells, with the calendar's columns, and the calendar; both written once, so lineitem is read once."""
+    cells = materialize(ownership_cells(spark, sf_dir), "cells")
+    calendar = materialize(snapshot_calendar(cells), "calendar")
+    return history.with_calendar(cells, calendar), calendar
 
 
 CELLS = """
@@ -126,20 +129,19 @@ _HISTORY = ", ".join(HISTORY_COLUMNS)
 
 
 def scd4(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    calendar = quarters(spark, sf_dir)
-    rows = history.with_calendar(ownership_cells(spark, sf_dir), calendar)
+    rows, calendar = cells_and_calendar(spark, sf_dir)
     return history.snapshot_diff(rows, calendar, ["observation_key"], ["row_hash"], "change_status_backward"), calendar
 
 
 def scd2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    calendar = quarters(spark, sf_dir)
-    rows = history.with_calendar(ownership_cells(spark, sf_dir), calendar)
+    rows, calendar = cells_and_calendar(spark, sf_dir)
     return history.scd2(rows, calendar, "observation_key", ["row_hash"]).select(*HISTORY_COLUMNS), calendar
 
 
 @register("snapshot_calendar", f"WITH {CELLS} SELECT snapshot_date, seq, printf('SNAPSHOT_%03d', seq) AS snapshot_version, seq = last_seq AS is_latest, last_seq FROM cal")
 def q_calendar(spark, sf_dir):
-    return quarters(spark, sf_dir)
+    quarter = F.date_format(F.date_trunc("quarter", "l_shipdate"), "yyyy-MM-dd")
+    return snapshot_calendar(table(spark, sf_dir, "lineitem").select(quarter.alias("snapshot_date")))
 
 
 @register("ownership_observations", f"WITH {CELLS} SELECT snapshot_date, owner_entity_id, asset_id, asset_country, asset_sector, capacity_mw, pct, observation_key, row_hash FROM obs")
@@ -254,20 +256,71 @@ def q_mart(spark, sf_dir):
     return mart.exposure_mart(versions, calendar)
 
 
+def asset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source row per quarter, supplier and brand, in the shape of the assets' files; operators are the suppliers of a brand's number."""
+    cells = ownership_cells(spark, sf_dir)
+    operator = F.concat(F.lit("s"), (F.regexp_extract("asset_id", r"([0-9]+)$", 1).cast("int") % 7 + 1).cast("string"))
+    return cells.select(
+        "snapshot_date", F.concat_ws("|", "asset_id", "owner_entity_id").alias("source_record_id"), F.concat_ws("|", "asset_id", "owner_entity_id").alias("source_business_key"),
+        F.col("asset_id").alias("asset_source_id"), F.concat(F.lit("Brand "), "asset_id").alias("asset_name"), "asset_country", "asset_sector",
+        F.col("capacity_mw").cast("string").alias("capacity_mw"), F.col("owner_entity_id").alias("owner_source_entity_id"), F.lower("owner_entity_id").alias("owner_name"),
+        operator.alias("operator_source_entity_id"), F.when(F.col("pct") % 3 == 0, "0").otherwise(F.col("pct").cast("string")).alias("ownership_pct"),
+    )
+
+
+def identifier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the identifiers of entities, and nations as registered parents and children of regions."""
+    ids = table(spark, sf_dir, "supplier").select(F.lit("SOURCE_ENTITY_ID").alias("key_name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key_value"))
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("key_value")).union(table(spark, sf_dir, "nation").select("n_name"))
+    every = ids.unionByName(names.select(F.lit("REGISTRY_ENTITY_ID").alias("key_name"), "key_value"))
+    return every.withColumn("entity_id", F.concat(F.lit("e:"), "key_value"))
+
+
+ASSET_ROWS = CELLS + """,
+src AS (
+  SELECT obs.*, asset_id || '|' || owner_entity_id AS record_id, 'ast_' || substr(sha1(asset_id), 1, 12) AS aid, 'e:' || owner_entity_id AS owner,
+         'e:s' || (CAST(regexp_extract(asset_id, '([0-9]+)$', 1) AS INTEGER) % 7 + 1) AS operator, CASE WHEN pct % 3 = 0 THEN 0.0 ELSE CAST(pct AS DOUBLE) END AS share FROM obs)"""
+
+
 @register(
     "asset_master",
-    f"""WITH {CELLS} SELECT asset_id, first(asset_country ORDER BY snapshot_date, observation_key) AS asset_country, first(capacity_mw ORDER BY snapshot_date, observation_key) AS capacity_mw,
-      min(snapshot_date) AS first_seen_snapshot, max(snapshot_date) AS last_seen_snapshot, max(seq) = max(last_seq) AS is_current FROM obs GROUP BY asset_id""",
+    f"""WITH {ASSET_ROWS}, last AS (SELECT max(snapshot_date) AS latest FROM src)
+      SELECT aid AS asset_id, 'Brand ' || asset_id AS asset_name, first(asset_country ORDER BY snapshot_date, record_id) AS asset_country, first(asset_sector ORDER BY snapshot_date, record_id) AS asset_sector,
+      first(capacity_mw ORDER BY snapshot_date, record_id) AS capacity_mw, first(operator ORDER BY snapshot_date, record_id) AS operator_entity_id, 'infrastructure_assets' AS source_systems,
+      min(snapshot_date) AS first_seen_snapshot, max(snapshot_date) AS last_seen_snapshot, max(snapshot_date) = max(latest) AS is_current FROM src, last GROUP BY aid, asset_id""",
 )
 def q_assets(spark, sf_dir):
-    cells = ownership_cells(spark, sf_dir)
-    rolled = cells.groupBy("asset_id").agg(
-        F.min_by(F.struct("asset_country", "capacity_mw"), F.struct("snapshot_date", "observation_key")).alias("first"),
-        F.min("snapshot_date").alias("first_seen_snapshot"),
-        F.max("snapshot_date").alias("last_seen_snapshot"),
-    )
-    calendar = quarters(spark, sf_dir).select(F.col("snapshot_date").alias("last_seen_snapshot"), F.col("is_latest").alias("is_current"))
-    return rolled.join(calendar, "last_seen_snapshot").select("asset_id", "first.asset_country", "first.capacity_mw", "first_seen_snapshot", "last_seen_snapshot", "is_current")
+    return silver.asset_master(asset_rows(spark, sf_dir), identifier_rows(spark, sf_dir))
+
+
+@register(
+    "silver_ownership",
+    f"""WITH {ASSET_ROWS} SELECT 'oobs_' || substr(sha1(snapshot_date || '||' || record_id), 1, 12) AS ownership_observation_id, owner AS owner_entity_id, owner_entity_id AS owner_entity_name, aid AS asset_id,
+      'Brand ' || asset_id AS asset_name, asset_country, asset_sector, capacity_mw, share AS ownership_pct, owner || '|' || aid AS lifecycle_key, owner || '|' || aid || '|infrastructure_assets' AS observation_key,
+      'ohsh_' || substr(sha1(owner || '|' || aid || '|infrastructure_assets'), 1, 12) AS observation_key_hash, 'infrastructure_assets' AS observation_source, record_id AS source_record_id,
+      record_id AS source_business_key, snapshot_date, snapshot_date AS observation_date, snapshot_date AS source_version,
+      'orow_' || substr(sha1(owner || '||' || aid || '||Brand ' || asset_id || '||' || asset_country || '||' || asset_sector || '||' || CASE WHEN share = 0 THEN '' ELSE CAST(share AS VARCHAR) END), 1, 12) AS row_hash
+      FROM src""",
+)
+def q_silver_ownership(spark, sf_dir):
+    return silver.ownership_observations(asset_rows(spark, sf_dir), identifier_rows(spark, sf_dir))
+
+
+@register(
+    "last_of_snapshot",
+    "SELECT o_custkey, year(o_orderdate) AS y, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2",
+)
+def q_last(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").cast("long").alias("y"), "o_orderkey")
+    return history.last_of_snapshot(rows, ["o_custkey"], ["o_orderkey"], "y")
+
+
+@register("lookup", "SELECT n_nationkey, coalesce('e:' || r_name, '') AS parent_id FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey % 2 = 0")
+def q_lookup(spark, sf_dir):
+    some = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    index = some.filter("r_regionkey % 2 = 0").select(F.lit("REGION").alias("key_name"), F.col("r_name").alias("key_value"), F.concat(F.lit("e:"), "r_name").alias("entity_id"))
+    rows = table(spark, sf_dir, "nation").join(some, F.col("n_regionkey") == F.col("r_regionkey"))
+    return resolve.lookup(rows, index, "REGION", "r_name", "parent_id", required=False).select("n_nationkey", "parent_id")
 
 
 REL = "'rel_' || substr(sha1(snapshot_date || '||' || owner_entity_id || '||' || asset_id || '||OWNS_ASSET'), 1, 12)"
@@ -287,20 +340,31 @@ def q_first_seen(spark, sf_dir):
     return silver.first_seen(edges).drop("relationship_type")
 
 
+def _edge_sql(start: str, end: str, end_type: str, kind: str, pct: str, role: str, source: str, date: str, evidence: str, rows: str) -> str:
+    return (
+        f"SELECT 'rel_' || substr(sha1({date} || '||' || {start} || '||' || {end} || '||{kind}'), 1, 12) AS relationship_id, 'entity' AS from_node_type, {start} AS from_node_id, '{end_type}' AS to_node_type,"
+        f" {end} AS to_node_id, '{kind}' AS relationship_type, {pct} AS ownership_pct, '{role}' AS asset_role, '{source}' AS source_name, {date} AS snapshot_date, {evidence} AS evidence_key FROM {rows}"
+    )
+
+
+EDGES = f"""{ASSET_ROWS}, ops AS (SELECT DISTINCT snapshot_date, operator, aid FROM src),
+e AS ({_edge_sql('owner', 'aid', 'asset', 'OWNS_ASSET', 'share', 'owner', 'infrastructure_assets', 'snapshot_date', 'record_id', 'src')}
+  UNION ALL {_edge_sql('operator', 'aid', 'asset', 'OPERATES_ASSET', '100.0', 'operator', 'infrastructure_assets', 'snapshot_date', "'evidence_' || substr(sha1(snapshot_date || '||' || operator || '||' || aid), 1, 12)", 'ops')}
+  UNION ALL {_edge_sql("'e:' || r_name", "'e:' || n_name", 'entity', 'PARENT_OF_ENTITY', '100.0', 'parent', 'entity_hierarchy', "'2000-01-01'", "r_name || '>' || n_name", 'region JOIN nation ON n_regionkey = r_regionkey')})"""
+
+
 @register(
     "edge_union",
-    f"""WITH {CELLS} SELECT snapshot_date, owner_entity_id AS from_node_id, asset_id AS to_node_id, 'OWNS_ASSET' AS relationship_type, CAST(pct AS DOUBLE) AS ownership_pct FROM obs
-      UNION ALL SELECT DISTINCT snapshot_date, asset_country, asset_id, 'OPERATES_ASSET', 100.0 FROM obs
-      UNION ALL SELECT DISTINCT '', r_name, n_name, 'PARENT_OF_ENTITY', 100.0 FROM region JOIN nation ON n_regionkey = r_regionkey""",
+    f"""WITH {EDGES} SELECT *, CASE WHEN row_number() OVER (PARTITION BY from_node_id, to_node_id, relationship_type, ownership_pct ORDER BY snapshot_date, relationship_type, relationship_id) = 1
+      THEN 'NEW' ELSE 'UNCHANGED' END AS change_status FROM e""",
 )
 def q_edge_union(spark, sf_dir):
-    cells = ownership_cells(spark, sf_dir)
-    names = ["snapshot_date", "from_node_id", "to_node_id", "relationship_type", "ownership_pct"]
-    owns = cells.select("snapshot_date", "owner_entity_id", "asset_id", F.lit("OWNS_ASSET"), "ownership_pct").toDF(*names)
-    operates = cells.select("snapshot_date", "asset_country", "asset_id").distinct().select("*", F.lit("OPERATES_ASSET"), F.lit(100.0)).toDF(*names)
     kin = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
-    parents = kin.select(F.lit(""), "r_name", "n_name", F.lit("PARENT_OF_ENTITY"), F.lit(100.0)).distinct().toDF(*names)
-    return owns.unionByName(operates).unionByName(parents)
+    hierarchy = kin.select(
+        F.lit("2000-01-01").alias("snapshot_date"), F.concat_ws(">", "r_name", "n_name").alias("source_business_key"),
+        F.col("r_name").alias("parent_registry_entity_id"), F.col("n_name").alias("child_registry_entity_id"),
+    )
+    return silver.relationship_edges(asset_rows(spark, sf_dir), hierarchy, identifier_rows(spark, sf_dir))
 
 
 # Entities -------------------------------------------------------------------------------------------------------
@@ -482,14 +546,13 @@ def _ranked(source: str, k: int) -> str:
 
 
 def keyword_list(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index = search.bm25_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return search.bm25_top_k(index, SEARCH, k)
+    return search.bm25_top_k(search.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text"), SEARCH, k)
 
 
 def vector_list(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    query = vectors.filter("vec_id = 0").select("embedding").first()[0]
-    return search.vector_top_k(vectors, "vec_id", "embedding", query, k)
+    query = vectors.filter("vec_id = 0").select("embedding").first()
+    return search.vector_top_k(vectors, "vec_id", "embedding", query[0] if query else [], k)
 
 
 @register("bm25_topk", f"WITH {BM25} {_ranked('b', 20)}")
@@ -524,13 +587,43 @@ def q_hybrid(spark, sf_dir):
     return best.select("id", "bm25_rank", "vector_rank", "rrf_score", "lang", "source")
 
 
+ENTITY_SEARCH = "customer 12 building"
+_INDEX_WORDS = ", ".join(f"'{w}'" for w in sorted(set(ENTITY_SEARCH.split())))
+
+
+@register(
+    "entity_index",
+    rf"""WITH txt AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, trim(c_name || ' ' || lower(c_name) || ' ' || c_nationkey || ' ' || c_mktsegment) AS text FROM customer),
+      t AS (SELECT id, regexp_extract_all(lower(text), '[0-9a-z_]{{2,}}') AS tokens FROM txt),
+      s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM t),
+      c AS (SELECT id, len(tokens) AS dl, unnest(tokens) AS token FROM t),
+      f AS (SELECT id, dl, token, count(*) AS tf FROM c WHERE token IN ({_INDEX_WORDS}) GROUP BY 1, 2, 3),
+      d AS (SELECT token, count(*) AS df FROM f GROUP BY 1),
+      b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM f JOIN d USING (token), s GROUP BY id),
+      r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b WHERE score > 0 ORDER BY score DESC, id LIMIT 15)
+      SELECT id, score, rank, c_name AS entity_name FROM r JOIN txt USING (id)""",
+)
+def q_entity_index(spark, sf_dir):
+    """Customers as current entities: the index is stored, and the query reads its postings."""
+    entities = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_name").alias("entity_name"), F.lower("c_name").alias("normalized_name"),
+        F.col("c_nationkey").cast("string").alias("country_code"), F.col("c_mktsegment").alias("entity_type"), F.lit("").alias("lei"),
+    )
+    index, _ = entity_index.build(entities)
+    names = index.table("attributes").select(F.col("entity_id").alias("id"), "entity_name")
+    return index.keyword(ENTITY_SEARCH, 15).join(names, "id").select("id", "score", "rank", "entity_name")
+
+
 @register("search_text", "SELECT c_custkey, trim(c_name || ' ' || lower(c_name) || ' ' || c_nationkey || ' ' || c_mktsegment) AS text FROM customer")
 def q_search_text(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", search.search_text(F.col("c_name"), F.lower("c_name"), F.col("c_nationkey").cast("string"), F.col("c_mktsegment"), F.lit("")).alias("text"))
 
 
-@register("corpus_fingerprint")
+_PARTS = ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS UBIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@register("corpus_fingerprint", f"WITH h AS (SELECT sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text)) AS d FROM documents) SELECT sha256(concat_ws('|', 'model-1', count(*), {_PARTS})) AS fingerprint FROM h")
 def q_fingerprint(spark, sf_dir):
     return search.corpus_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", "model-1")
 

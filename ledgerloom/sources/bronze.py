@@ -22,7 +22,7 @@ def _json_string(value: Column) -> Column:
             F.concat(F.lit("\\u"), F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), r"(.{4})(?=.)", "$1\\\\u"))
         ),
     )
-    return F.array_join(units, "")
+    return F.when(F.octet_length(inner) == F.length(inner), inner).otherwise(F.array_join(units, ""))  # ASCII as it is
 
 
 def payload(columns: Sequence[str]) -> Column:

@@ -26,6 +26,42 @@ def read_family(spark: SparkSession, root: str, family: str) -> DataFrame:
     return rows.na.fill("")
 
 
+def _listed(spark: SparkSession, folder: str):
+    """What a folder holds, in order of name, in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path), key=lambda s: s.getPath().getName())
+
+
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The names in a file's first line, as Spark's reader sees them."""
+    return tuple(spark.read.option("header", True).csv(path).columns)
+
+
+def read_any_snapshots(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Every family below ``root`` with every column its files have, all strings, blanks ``""``.
+
+    Files of one family may differ in columns: those of equal header are read together, and the groups are united
+    by name. The driver reads one line of each file.
+    """
+    families = {}
+    for folder in _listed(spark, root):
+        if not folder.isDirectory():
+            continue
+        by_header: dict[tuple[str, ...], list[str]] = {}
+        for file in _listed(spark, folder.getPath().toString()):
+            if file.isFile() and file.getPath().getName().endswith(".csv"):
+                by_header.setdefault(_header(spark, file.getPath().toString()), []).append(file.getPath().toString())
+        rows = None
+        for names, paths in by_header.items():
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+            part = spark.read.option("header", True).schema(schema).csv(paths)
+            part = part.select("*", F.regexp_extract("_metadata.file_name", r"([^/]+)\.csv$", 1).alias("snapshot_date"))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        if rows is not None:
+            families[folder.getPath().getName()] = rows.na.fill("")
+    return families
+
+
 def read_snapshots(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {family: read_family(spark, root, family) for family in FAMILIES}
 

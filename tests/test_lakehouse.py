@@ -4,12 +4,15 @@ import json
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerloom.operators.entity_index import build
 from ledgerloom.operators.quality import gold_checks
 from ledgerloom.plans.contracts import exact, validate, validate_published
+from ledgerloom.plans import search_app
 from ledgerloom.plans.lakehouse import build_gold, build_silver, run_lakehouse, scan_public_safety
-from ledgerloom.plans.publish import latest_batch, publish, read_log, read_published
-from ledgerloom.sources import bronze_records, read_snapshots
+from ledgerloom.plans.publish import claim_run, latest_batch, publish, read_log, read_published
+from ledgerloom.sources import bronze_records, publish_analytics, read_any_snapshots, read_snapshots, register, write_bronze, write_layer
 from tests.sample import write_dimensions, write_samples
 
 
@@ -125,7 +128,69 @@ def test_commit(spark, tmp_path):
     assert all(r.estimated_commissioning_year < r.estimated_retirement_year for r in rows)
 
 
-def test_safety_scan(tmp_path):
+def test_safety_scan(spark, tmp_path):
     (tmp_path / "a.txt").write_text("see /" + "home/someone/work/notes")
-    (tmp_path / "b.txt").write_text("clean")
-    assert len(scan_public_safety(str(tmp_path), ("never",))) == 1
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep/b.md").write_text("clean, but says forbidden")
+    (tmp_path / "c.txt").write_text("clean")
+    found = scan_public_safety(spark, str(tmp_path), ("forbidden",))
+    assert [f.rsplit("/", 1)[-1].split(":")[0] for f in found if "banned" in f] == ["b.md"] and len(found) == 2
+    assert any("a.txt: private path" in f for f in found)
+
+
+def test_unsafe_text_stops_the_run(spark, tmp_path):
+    samples, dims = write_samples(tmp_path / "in"), write_dimensions(tmp_path / "dims")
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo/a.md").write_text("/" + "Users/someone/Documents/x/")
+    with pytest.raises(ValueError, match="public safety"):
+        run_lakehouse(spark, str(samples), str(dims), str(tmp_path / "out"), "commit", str(tmp_path / "report.json"), safety_root=str(tmp_path / "repo"))
+    report = json.loads((tmp_path / "report.json").read_text())
+    assert report["status"] == "failed" and report["artifacts"] == [] and not (tmp_path / "out").exists()
+
+
+def test_catalog_and_views(spark, layers, tmp_path):
+    _, _, gold = layers
+    some = {n: gold[n] for n in ("entity_master_current", "ownership_current", "owner_infrastructure_exposure_snapshot")}
+    some["asset_lifecycle_predictions"] = spark.createDataFrame([("a", "b")], "asset_id string, extra string")
+    done: list[str] = []
+    paths = write_layer(some, f"{tmp_path}/gold", done)
+    assert done == list(paths.values())
+    names = register(spark, paths, catalog=True)
+    assert names[2:] == ["mart_owner_infrastructure_exposure_snapshot", "ml_asset_lifecycle_predictions"]
+    views = publish_analytics(spark, "analytics_of_test")
+    assert spark.table(views[0]).columns == ["asset_id"] and spark.table("analytics_of_test.ownership_current").count() == 7
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_any_family_and_bronze_read_back(spark, tmp_path):
+    root = write_samples(tmp_path / "in")
+    (root / "more").mkdir()
+    (root / "more/2025-01-01.csv").write_text("source_record_id,note\nX1,\u00e9\n")
+    (root / "more/2025-06-01.csv").write_text("source_record_id,other\nX2,\n")
+    families = read_any_snapshots(spark, str(root))
+    assert sorted(families) == ["entity_hierarchy", "infrastructure_assets", "more", "registry_entities"]
+    rows = {r.source_record_id: r for r in families["more"].collect()}
+    assert (rows["X1"].note, rows["X1"].other, rows["X1"].snapshot_date, rows["X2"].note) == ("\u00e9", "", "2025-01-01", "")
+    write_bronze(bronze_records(families["more"], "more"), f"{tmp_path}/bronze")
+    back = {r.source_record_id: r for r in spark.read.parquet(f"{tmp_path}/bronze").collect()}
+    assert json.loads(back["X1"].raw_payload) == {"note": "\u00e9", "other": ""} and str(back["X2"].snapshot_date) == "2025-06-01" and back["X1"].source == "more"
+
+
+def test_search_over_current_entities(spark, layers, tmp_path):
+    _, _, gold = layers
+    folder = f"file://{tmp_path}/index"
+    index, fresh = build(gold["entity_master_current"], folder)
+    assert fresh and not build(gold["entity_master_current"], folder)[1]  # an equal fingerprint skips the work
+    found = search_app.results(index, "north cape", 3)
+    assert found[0]["rank"] == 1 and {f["entity_name"][:10] for f in found[:2]} == {"North Cape"} and found[0]["bm25_rank"] in (1, 2)
+    renamed = gold["entity_master_current"].withColumn("entity_name", F.upper("entity_name"))
+    assert build(renamed, folder)[1] and build(gold["entity_master_current"], folder, model="other")[1]
+    assert search_app.answer(index, "/search?q=soleada&top_k=2")[1]["results"][0]["country_code"] == "ES"
+    assert [search_app.answer(None, t)[0] for t in ("/health", "/search?q=x", "/search?q=", "/search?q=x&top_k=51", "/y")] == [200, 503, 422, 422, 404]
+    assert "entity_name" in search_app.table_text(found)
+
+
+def test_two_publishers_get_two_numbers(spark, tmp_path):
+    root = f"file://{tmp_path}/sink"
+    assert [claim_run(spark, root) for _ in range(3)] == [1, 2, 3]

@@ -49,9 +49,9 @@ def test_rrf(spark):
 
 def test_bm25_and_vectors(spark):
     docs = spark.createDataFrame([(1, "wind wind farm"), (2, "solar farm"), (3, None)], "doc_id long, text string")
-    got = search.bm25_top_k(search.bm25_index(docs, "doc_id", "text"), "Wind!", 5).collect()
+    got = search.bm25_top_k(search.tokenised(docs, "doc_id", "text"), "Wind!", 5).collect()
     assert [r.id for r in got] == [1] and got[0].score > 0
-    assert search.bm25_top_k(search.bm25_index(docs, "doc_id", "text"), "!", 5).count() == 0
+    assert search.bm25_top_k(search.tokenised(docs, "doc_id", "text"), "!", 5).count() == 0
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])], "id long, v array<double>")
     assert [(r.id, r.score) for r in search.vector_top_k(vectors, "id", "v", [2.0, 0.0], 3).collect()] == [(1, 1.0), (2, round(math.sqrt(0.5), 6)), (3, 0.0)]
 
@@ -103,7 +103,7 @@ def test_enrichment_and_override(spark, tmp_path):
     signals = spark.createDataFrame([("k", "1", 3, 1.0, 0.9, 2)], "lifecycle_key string, asset_id string, total_appearances long, presence_rate double, reliability_score double, consecutive_appearances_current long")
     got = {r.asset_id: r for r in features.enrich(assets, signals, countries, sectors).collect()}
     assert (got["1"].sector_encoded, got["2"].sector_encoded) == (1, 3) and got["1"].reliability_score == 0.9
-    assert (got["2"].territorial_type, got["2"].gdp_tier, got["2"].latitude, got["2"].reliability_score) == ("mixed", 5, 40.0, 0.5)
+    assert (got["2"].territorial_type, got["2"].gdp_tier, got["2"].latitude, got["2"].reliability_score) == ("mixed", 3, 41.3, 0.5)
     bad = spark.createDataFrame([("1", "x", "ES", "hydro", 1.0)], schema)
     with pytest.raises(Exception, match="Unsupported asset sector 'hydro'"):
         features.enrich(bad, signals, countries, sectors).collect()
