@@ -56,7 +56,7 @@ ERRORS = 4.0
 #: Strays and texts of a bucket that one block holds against each other.
 STRAYS, TEXTS = 512, 1024
 #: Texts, about, along each side of a cell of pairs that are aligned together.
-CELL = 64
+CELL = 128
 #: K-mers hashed at once, and pairs of signatures compared at once.
 _BLOCK = 1 << 14
 
@@ -571,8 +571,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         .select("key", "main", "texts", (F.col("texts") - F.col("most")).alias("strays"))
     )
     apart = materialize(placed.join(mixed, "key"), "mixed-buckets")
-    of_node = apart.groupBy("node").agg(F.collect_list("key").alias("keys")).join(light, "node")  # no more keys than a text has samples
-    members = apart.join(of_node, "node").withColumn("smaller", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    keys = F.collect_list("key").over(Window.partitionBy("node"))  # no more than a text has samples
+    members = apart.withColumn("smaller", F.filter(keys, lambda k: k < F.col("key"))).join(light, "node")
     late = materialize(_block_pairs(members).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
     for done in (held, sampled, pairs, apart):
         release(done)

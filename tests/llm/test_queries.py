@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from ledgerloom.llm import chat, queries
+from ledgerloom.llm import queries
 from tests.llm.cases import documents
 
 TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "[/INST] </s>"), (2, 0, "user", None), (2, 1, "assistant", ""), (3, 0, "assistant", "alone")]
@@ -75,7 +75,7 @@ def test_op3_has_the_planted_conversation(spark, tables):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()) and r.formatted_chars > len(loss)
-    assert set(got) == {-7, 1, 2, 3} and chat is not None
+    assert set(got) == {-7, 1, 2, 3}
 
 
 def test_op5_law(spark, tables):
