@@ -571,8 +571,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         .select("key", "main", "texts", (F.col("texts") - F.col("most")).alias("strays"))
     )
     apart = materialize(placed.join(mixed, "key"), "mixed-buckets")
-    keys = F.collect_list("key").over(Window.partitionBy("node"))  # no more than a text has samples
-    members = apart.withColumn("smaller", F.filter(keys, lambda k: k < F.col("key"))).join(light, "node")
+    # a text's buckets, no more than it has samples, meet its signature as one row
+    of_node = apart.groupBy("node", "part").agg(F.collect_list(F.struct("key", "main", "texts", "strays")).alias("held")).join(light, "node")
+    members = of_node.select("*", F.explode("held").alias("bucket")).select(
+        "node", "part", "n_words", "signature", "bucket.*", F.filter(F.col("held.key"), lambda k: k < F.col("bucket.key")).alias("smaller")
+    )
     late = materialize(_block_pairs(members).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
     for done in (held, sampled, pairs, apart):
         release(done)
