@@ -197,7 +197,7 @@ class ChunkEncoder:
             self.known, self.older = {}, self.known
         flat = list(chain.from_iterable(split))
         ids = list(map(self.known.get, flat))
-        missing = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+        missing = [] if all(ids) else [i for i, x in enumerate(ids) if x is None]  # few chunks have no ids at all
         if missing:
             self._learn({flat[i] for i in missing})
             for i in missing:
