@@ -98,8 +98,10 @@ def grow(current: list[int], sizes: dict[int, int], shards: int) -> list[int]:
 
 def store_map(spark: SparkSession, mapping: list[int], version: int, path: str) -> None:
     """Add a version of a map to its table: (slot, shard) under version=N."""
-    rows = spark.createDataFrame(list(enumerate(mapping)), "slot int, shard int")
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    listed = F.split(F.lit(",".join(map(str, mapping))), ",")
+    slots = spark.range(0, len(mapping), 1, 1).select(F.col("id").cast("int").alias("slot"))
+    rows = slots.select("slot", F.element_at(listed, F.col("slot") + 1).cast("int").alias("shard"))
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def stored_map(spark: SparkSession, path: str) -> DataFrame:
