@@ -201,3 +201,65 @@ def test_repeated_documents(spark):
     for r in plan:
         want[r.mix_source] += r.taken
     assert +words == +want
+
+
+def test_statistics_of_a_long_text_in_segments(monkeypatch):
+    text = ("a b c\nd e f\n" * 300 + "word " * 200 + "\n" + "x" * 500 + "\nd e f").encode()
+    data, offsets = np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])
+    whole = quality_rules.statistics(data, offsets)
+    monkeypatch.setattr(quality_rules.T, "SEGMENT", 256)
+    pieces = quality_rules.statistics(data, offsets)
+    assert {k: v.tolist() for k, v in pieces.items()} == {k: v.tolist() for k, v in whole.items()}
+    assert (whole["n_words"][0], whole["word_chars"][0], whole["n_symbols"][0], whole["n_dup_lines"][0], whole["n_repeat_words"][0]) == brute_statistics(text.decode())
+
+
+def test_thresholds_lie_between_values():
+    values = np.array([0.0] * 90 + [0.2] * 10)
+    assert set(quality_rules._thresholds(values, 48)) == {0.1}
+
+
+def test_verdict_on_held_out_documents(spark):
+    rows = []
+    for i, r in enumerate(documents(400, seed=11)[:400]):
+        text = " ".join(f"{w}##" if k % 4 == 0 else w for k, w in enumerate(r[1].split())) if i % 5 == 0 else r[1] + (" #1" if i % 7 == 0 else "")
+        rows.append((r[0], text, *r[2:]))
+    got = quality_rules.apply_quality_rules(frame(spark, rows), labels(spark, rows)).collect()
+    judged = [(r.kept, r.doc_id % 5 != 0) for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and not r.base_failed]
+    condemned = [good for kept, good in judged if not kept]
+    assert len(judged) > 20 and not any(condemned) and len(condemned) >= 0.9 * sum(not good for _, good in judged)
+
+
+def test_rejection_of_what_is_no_language(spark):
+    rows = documents(300, seed=5)[:300]
+    model = language_id.fit_languages(frame(spark, rows))
+    clean = language_id.identify(frame(spark, documents(200, seed=6)[:200]), model).collect()
+    assert sum(r.accepted for r in clean) >= 0.97 * len(clean) and model.calibration_error <= 0.1
+    odd = ["0123456789abcdef" * 40, "qxzj kvwy zzqx " * 40, "日本語のテキスト " * 40, "Привет мир как дела " * 20]
+    found = language_id.identify(spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string"), model).collect()
+    assert not any(r.accepted for r in found)
+
+
+def test_calibration_error():
+    assert language_id.expected_calibration_error(np.array([0.95, 0.95]), np.array([True, True])) == pytest.approx(0.05)
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    rows = [(1, "the stone river and the house", "en", "s", 1, 1, 0.1, 1, "")] * 400 + [(i, f"le château et la rivière {i}", "fr", "s", 1, 1, 0.1, 1, "") for i in range(2, 60)]
+    rows += [(i, f"the thing over other house {i}", "en", "s", 1, 1, 0.1, 1, "") for i in range(60, 120)]
+    model = language_id.fit_languages(frame(spark, rows), bound=30)
+    found = language_id.identify(frame(spark, rows), model).collect()
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.95 * len(found)
+
+
+def test_sharding_starts_from_the_stored_map(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    rows = documents(300)
+    first = {r.doc_id: r.shard for r in sharding.shard_documents(frame(spark, rows), shards=8, map_path=path).collect()}
+    before = sharding.latest_map(spark, path)
+    again = sharding.shard_documents(frame(spark, rows), shards=8, map_path=path).collect()
+    assert {r.doc_id: r.shard for r in again} == first and sharding.latest_map(spark, path) == before and {r.map_version for r in again} == {before[0]}
+    sharding.store_map(spark, [0] * sharding.SLOTS, before[0] + 1, path)  # an edit by someone else is what counts
+    moved = sharding.shard_documents(frame(spark, rows), shards=8, map_path=path).collect()
+    assert {r.map_version for r in moved} == {before[0] + 2} and len({r.shard for r in moved}) > 4
+    same = [(7, f"text {i}", "en", "s", 1, 1, 0.1, 1, "") for i in range(300)]
+    assert len({r.virtual_slot for r in sharding.shard_documents(frame(spark, same)).collect()}) > 200  # one id, many texts

@@ -170,3 +170,43 @@ def test_texts_that_first_meet_another(spark):
         rows += [(g, hub, "en", "s", 1, 1, 0.1, 1, ""), (100 + g, left, "en", "s", 1, 1, 0.1, 1, ""), (200 + g, right, "en", "s", 1, 1, 0.1, 1, "")]
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, rows)).collect()}
     assert all(got[g] == g and got[100 + g] == got[200 + g] == 100 + g for g in range(40))
+
+
+def test_signatures_do_not_rule_out_similar_texts():
+    rng = np.random.default_rng(3)
+    for n in (4, 10, 30, 100, 400):
+        for kind in range(3):
+            for _ in range(60):
+                a = rng.integers(0, 1 << 63, n, dtype=np.uint64) if kind < 2 else rng.integers(0, max(2, n // 20), n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                at = rng.choice(n, n // 5, replace=False)
+                b = np.delete(a, at) if kind == 1 else a.copy()
+                if kind != 1:
+                    b[at] = rng.integers(0, 1 << 63, n // 5, dtype=np.uint64)
+                rows = [np.frombuffer(order_minhash.signature(x), np.uint8)[None] for x in (a, b)]
+                assert order_minhash.plausible(np.array([len(a)]), np.array([len(b)]), *rows)[0][0]
+    far = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(2)]
+    assert not order_minhash.plausible(np.array([300]), np.array([300]), *[np.frombuffer(order_minhash.signature(x), np.uint8)[None] for x in far])[0][0]
+
+
+def test_blocks_of_a_bucket_give_each_pair_once(spark, monkeypatch):
+    """Chains of near copies whose ends are not similar, and strays among them, in blocks smaller than a bucket."""
+    monkeypatch.setattr(order_minhash, "STRAYS", 4)
+    monkeypatch.setattr(order_minhash, "TEXTS", 8)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(100)]
+    rows, number = [], 0
+    for g in range(30):
+        words = list(base)
+        for _ in range(14):
+            words[rng.randrange(100)] = f"g{g}x{rng.randint(0, 10**6)}"
+        rows.append((number, " ".join(words), "en", "s", 1, 1, 0.1, 1, ""))
+        number += 1
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, rows)).collect()}
+    arrays = [np.array([hash(w) & 0x7FFFFFFF for w in r[1].split()], dtype=np.uint64) for r in rows]
+    parent = list(range(number))
+    for _ in range(number):  # labels spread along links
+        for i in range(number):
+            for j in range(i):
+                if order_minhash.similar(arrays[i], arrays[j]):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    assert got == dict(enumerate(parent))

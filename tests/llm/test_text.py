@@ -40,3 +40,22 @@ def test_segments_do_not_change_hashes(monkeypatch):
 
 def test_occurrences():
     assert T.occurrences(np.array([5, 7, 5, 5, 7], dtype=np.uint64)).tolist() == [0, 0, 1, 2, 1]
+
+
+def test_hashes_have_no_pattern():
+    """The doubling sequence and its complement collide under every polynomial modulo a power of two."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((one + two).encode(), dtype=np.uint8)
+    a, b = T.span_hashes(data, np.array([0, 1024]), np.array([1024, 2048]))
+    assert len(one) == 1024 and a != b
+
+
+def test_long_spans_hash_as_short_ones(monkeypatch):
+    data = np.frombuffer(bytes(range(33, 123)) * 50, dtype=np.uint8)
+    starts, ends = np.array([0, 5, 5, 4000, 7]), np.array([4500, 5, 4400, 4010, 15])
+    whole = T.span_hashes(data, starts, ends)
+    monkeypatch.setattr(T, "SEGMENT", 64)
+    assert (T.span_hashes(data, starts, ends) == whole).all() and len(set(whole.tolist())) == 5

@@ -106,3 +106,24 @@ def test_words_one_by_one(plain, text):
     ids = b"".join(byte_bpe.encode_word(w.encode(), RANKS, public_tokenizers.PATTERN) for w in words)
     assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(text)
     assert byte_bpe.decode_ids(np.frombuffer(ids, "<u4"), RANKS) == text.encode()
+
+
+def test_files_roll_by_size(spark):
+    rows = documents(1500)
+    manifest = token_files.write_token_files(frame(spark, rows), WORD_BPE, file_bytes=2000).cache()
+    plain = token_files.write_token_files(frame(spark, rows), WORD_BPE)
+    assert manifest.count() > plain.count()
+    rolled = [(r.doc_no, r.doc_id, r.start, r.ids_crc32) for r in token_files.read_token_files(manifest).collect()]
+    whole = [(r.doc_no, r.doc_id, r.start, r.ids_crc32) for r in token_files.read_token_files(plain).collect()]
+    assert sorted(rolled, key=str) == sorted(whole, key=str)
+
+
+def test_ids_beyond_the_width():
+    with pytest.raises(ValueError, match="does not fit"):
+        token_files.pack(np.array([1, 70_000], dtype=np.uint32), 16)
+
+
+def test_ids_of_another_type(spark):
+    named = spark.createDataFrame([("b", "the stone"), ("a", None)], "doc_id string, text string")
+    got = token_files.read_token_files(token_files.write_token_files(named, WORD_BPE)).collect()
+    assert [(r.doc_id, r.start) for r in sorted(got, key=lambda r: r.doc_no)] == [("a", 0), ("b", 1)]
