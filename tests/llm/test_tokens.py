@@ -127,3 +127,24 @@ def test_ids_of_another_type(spark):
     named = spark.createDataFrame([("b", "the stone"), ("a", None)], "doc_id string, text string")
     got = token_files.read_token_files(token_files.write_token_files(named, WORD_BPE)).collect()
     assert [(r.doc_id, r.start) for r in sorted(got, key=lambda r: r.doc_no)] == [("a", 0), ("b", 1)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZéÀßÿ×÷ªµ́ \n.,", max_size=30), max_size=5))
+def test_joined_ids_of_several_texts(texts):
+    encoder = token_files._encoder(WORD_BPE)
+    ids, counts = encoder.encode_joined([t.encode() for t in texts])
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in whole]
+    assert ids.tolist() == [i for w in whole for i in w]
+
+
+def test_tokenizer_of_other_steps(tmp_path):
+    other = Tokenizer.from_file(WORD_BPE)
+    other.normalizer = None
+    other.save(str(tmp_path / "other.json"))
+    encoder = token_files.ChunkEncoder(str(tmp_path / "other.json"))
+    assert not encoder.by_chunk
+    ids, counts = encoder.encode_joined([b"The Stone. ", b"", "Été".encode()])
+    whole = [other.encode(t, add_special_tokens=False).ids for t in ("The Stone. ", "", "Été")]
+    assert (ids.tolist(), counts.tolist()) == ([i for w in whole for i in w], [len(w) for w in whole])
